@@ -1,7 +1,9 @@
 """Token ids of the word BPE vocabulary, whitespace-separated pieces being encoded once and remembered.
 
 The vocabulary's normaliser turns white space into one space, and no token spans white space, so a text's
-ids are the concatenation of the ids of its pieces.
+ids are the concatenation of the ids of its pieces. Likewise a comma or full stop between an ASCII letter and
+white space always is a token run of its own, so it may be set apart from its word first; and ASCII letters may
+be lower-cased first unless combining marks are about, which the normaliser composes before it lower-cases.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ import public_tokenizers
 
 MAX_REMEMBERED = 700_000
 END_ID = 1
-# Python splits at these four control characters, the vocabulary's normaliser doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_TAIL = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
+_MARKS = re.compile(b"[\xcc\xcd]")
 
 
 def vocabulary_path() -> str:
@@ -22,42 +24,60 @@ def vocabulary_path() -> str:
 
 
 class WordEncoder(dict):
-    """Maps a piece without white space to its ids as little-endian 16-bit bytes."""
+    """Maps a piece without ASCII white space, as UTF-8, to its ids as little-endian 16-bit bytes."""
 
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 65_536:
+        size = self.tokenizer.get_vocab_size()
+        if size > 65_536:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
+        self.ends = np.zeros(size, dtype=bool)  # tokens that end a run of letters, digits or other characters
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         import numpy as np
 
         if len(self) + len(words) > MAX_REMEMBERED:
             self.clear()
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(coded.ids, dtype="<u2").tobytes()
+        texts = [w.decode() for w in words]
+        # Lower-case words of Latin letters are one run each: many are encoded as one text and told apart by their last tokens.
+        plain, others = [], []
+        for i, t in enumerate(texts):
+            (plain if t.isalpha() and t.islower() and max(t) < "\u0250" else others).append(i)
+        if plain:
+            joined = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])], add_special_tokens=False)
+            ids = np.array(joined[0].ids, dtype="<u2")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            raw, at = ids.tobytes(), 0
+            for i, cut in zip(plain, cuts.tolist(), strict=True):
+                self[words[i]] = raw[at:cut]
+                at = cut
+        for i, coded in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
+            self[words[i]] = np.array(coded.ids, dtype="<u2").tobytes()
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian 16-bit bytes."""
-        if _SEPARATORS.search(text):
-            import numpy as np
-
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        words = text.split()
+        raw = text.encode()
+        if not _MARKS.search(raw):
+            raw = _TAIL.sub(rb" \g<0>", raw.lower())
+        words = raw.split()
         try:
             return b"".join(map(self.__getitem__, words))
         except KeyError:
-            self.learn([w for w in set(words) if w not in self])
-            return b"".join([self[w] if w in self else self._again(w) for w in words])
-
-    def _again(self, word: str) -> bytes:
-        self.learn([word])
-        return self[word]
+            new = [w for w in set(words) if w not in self]
+            self.learn(new)
+            try:
+                return b"".join(map(self.__getitem__, words))
+            except KeyError:  # the memory was emptied
+                self.learn([w for w in set(words) if w not in self])
+                return b"".join(map(self.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
