@@ -11,12 +11,13 @@ from glyphloom.llm.op3_lpt_shards import op3_lpt_shards
 from glyphloom.llm.op5_ogg import op5_ogg
 from glyphloom.llm.op6_monoid_bpe import op6_monoid_bpe
 from glyphloom.llm.op7_heavy_light import op7_heavy_light
+from glyphloom.llm.op8_wrapper import op8_wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light]
+    found = [op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper]
     return {f.__name__: f for f in found}
 
 
