@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphloom.llm.op1_ordinal import op1_ordinal
 from glyphloom.llm.op2_bin_completion import op2_bin_completion
 from glyphloom.llm.op3_lpt_shards import op3_lpt_shards
 from glyphloom.llm.op5_ogg import op5_ogg
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper]
+    found = [op1_ordinal, op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper]
     return {f.__name__: f for f in found}
 
 
