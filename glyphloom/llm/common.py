@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -11,13 +13,25 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 20_000
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory; any path that Spark can read."""
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Keep batches between Spark and Python small: rows hold whole texts, and batches live outside the heap."""
+    for name, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        with contextlib.suppress(Exception):  # a Spark without the setting
+            held = spark.conf.get(key)
+            if not held.isdigit() or int(held) > most:
+                spark.conf.set(key, str(most))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -45,7 +59,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more, and let Spark drop shuffle files of finished jobs."""
+    for df in tables:
+        held, path = _paths.pop(id(df), (None, None))
+        if held is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def bucket_count(rows: int) -> int:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import words
-from glyphloom.llm.common import materialise, table
+from glyphloom.llm.common import discard, materialise, table
 from glyphloom.llm.components import components
 
 PERCENT = 80
@@ -218,6 +218,41 @@ def light_links(docs: DataFrame, nodes: DataFrame, largest: int, percent: int) -
     return keyed.join(met, ["key", "lo", "hi"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
+def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, ...]:
+    """Links found by comparing members of long lists with one hub each, in rounds with other hubs.
+
+    Returns all links, the labels of their components, the entries of lists that still span several components with
+    these, and the components of each such list. It stops when few pairs are left, or after ``ROUNDS``; what is
+    left is compared in full by the caller.
+    """
+    labels = materialise(components(links), "labels")
+    for turn in range(ROUNDS + 1):
+        placed = long.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("comp"))
+        placed = materialise(placed, "placed")
+        shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+        lists = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
+        lists = lists.where("parts > 1").select("shingle", "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
+        lists = materialise(lists, "open")
+        left = lists.agg(F.sum("pairs"), F.sum("all")).first()
+        placed = placed.join(lists.select("shingle"), "shingle", "left_semi")
+        if turn == ROUNDS or not left[0] or turn and left[0] <= LONG * left[1]:
+            placed = materialise(placed, "placed")
+            return links, labels, placed, materialise(placed.select("shingle", "comp").distinct(), "parted")
+        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"))
+        own = materialise(placed, "own")
+        hubs = own.groupBy("shingle").agg(F.min(rank).alias("hub"))
+        near = own.join(hubs, "shingle").where(
+            (F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+        )
+        best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+        best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        pairs = materialise(best.select(F.col("node").alias("a"), "b"), "pairs")
+        links = materialise(links.unionByName(verified(texts, pairs, percent)), "links")
+        labels = materialise(components(links), "labels")
+        discard(own)
+    raise AssertionError("the last round returns")
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every document with the size of its shingle set and its component of links.
 
@@ -245,50 +280,35 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mean = lists.agg(F.avg("c")).first()[0] or 0.0
     largest = light_boundary(small, mean, percent)
     links = materialise(light_links(texts, held.where(F.col("n") <= largest).select(F.col("node").alias("doc_id")).distinct(), largest, percent), "links")
-    lists = lists.where(F.col("n") >= percent * (largest + 1) // 100) if largest else lists
-
-    labels = materialise(components(links), "labels")
-    for turn in range(ROUNDS + 1):
-        placed = lists.join(labels, "node", "left").select("shingle", "node", "n", "c", F.coalesce("component", "node").alias("comp"))
-        placed = materialise(placed, "placed")
-        shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-        open_lists = shares.groupBy("shingle").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")
-        ).where("parts > 1")
-        open_lists = materialise(open_lists.select("shingle", "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs")), "open")
-        long = open_lists.where(F.col("all") > LONG)
-        work = long.agg(F.sum("pairs"), F.sum("all")).first()
-        if turn == ROUNDS or not work[0] or (turn and work[0] <= 8 * work[1]):
-            break
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"))
-        own = materialise(placed.join(long.select("shingle"), "shingle"), "long")
-        hubs = own.groupBy("shingle").agg(F.min(rank).alias("hub"))
-        near = own.join(hubs, "shingle").where(
-            (F.col("comp") != F.col("hub.comp"))
-            & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-        )
-        best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-        best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-        found = materialise(verified(texts, materialise(best.select(F.col("node").alias("a"), "b"), "pairs"), percent), "links")
-        links = links.unionByName(found)
-        labels = materialise(components(links), "labels")
-
-    live = placed.join(open_lists.select("shingle"), "shingle")
-    live = materialise(live, "live")
-    groups = live.select("shingle", "comp").distinct()
-    meet = groups.select("shingle", F.col("comp").alias("p")).join(groups.select("shingle", F.col("comp").alias("q")), "shingle").where("p < q")
-    first = live.select("shingle", F.col("comp").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"))
-    second = live.select("shingle", F.col("comp").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = (
-        meet.join(first, ["shingle", "p"]).join(second, ["shingle", "q"])
-        .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.greatest("na", "nb") > largest))
-        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    discard(held, classes)
+
+    if largest:
+        lists = lists.where(F.col("n") >= percent * (largest + 1) // 100)
+    long = materialise(lists.where(F.col("c") > LONG).drop("c"), "long")
+    links, labels, placed, parted = contracted(texts, long, links, percent)
+    met = parted.select("shingle", F.col("comp").alias("p")).join(parted.select("shingle", F.col("comp").alias("q")), "shingle").where("p < q")
+    first = placed.select("shingle", F.col("comp").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"))
+    second = placed.select("shingle", F.col("comp").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    across = met.join(first, ["shingle", "p"]).join(second, ["shingle", "q"])
+    swap = F.col("a") > F.col("b")
+    across = across.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))))
+    short = lists.where(F.col("c") <= LONG)
+    within = (
+        short.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
+        .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").drop("shingle")
     )
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.greatest("na", "nb") > largest)
+    pairs = within.where(fits).unionByName(across.where(fits)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     # Common shingles are in both prefixes, or in the part after the prefix that ends first.
     rest = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")))
     enough = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     kept = materialise(pairs.where(F.col("k") + rest >= enough).select("a", "b"), "pairs")
-    links = links.unionByName(materialise(verified(texts, kept, percent), "links"))
+    discard(lists)
+    known = labels.select(F.col("node"), F.col("component"))
+    for end in ("a", "b"):
+        kept = kept.join(known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    kept = materialise(kept.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "pairs")
+    links = links.unionByName(verified(texts, kept, percent))
     labels = materialise(components(links), "labels")
 
     out = members.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component_id"))
