@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphloom.llm import op10_line_join as lines
 from glyphloom.llm.op1_ordinal import op1_ordinal
 from glyphloom.llm.op2_bin_completion import op2_bin_completion
 from glyphloom.llm.op3_lpt_shards import op3_lpt_shards
@@ -18,9 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ordinal, op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper]
+    found = [op1_ordinal, op2_bin_completion, op3_lpt_shards, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper, lines.op10_line_join]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_join": lines.ORACLE}
