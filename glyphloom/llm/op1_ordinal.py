@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphloom.llm import words
 from glyphloom.llm.common import materialise, table
@@ -148,27 +149,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(np.repeat(np.arange(len(grade)), lengths), buckets.astype(np.int64), amounts.astype(np.float64), grade)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every document with its expected grade, P(grade >= 1), P(grade >= 2) and whether it is kept."""
+def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
+    """Every document with its expected grade, P(grade >= 1), P(grade >= 2) and whether it is kept.
+
+    ``extra`` names the columns of ``docs`` to return instead of ``doc_id`` alone; a column of the same name as a
+    score is not among them.
+    """
+    scores = ["expected_grade", "p_good", "p_clean", "kept"]
+    names = ["doc_id"] if extra is None else [c for c in extra if c not in scores]
+    rows = docs.select(*names, F.col("text").alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = np.concatenate([tails(model, own) for _, own in words.chunks(batch.column(1))])
+                p = np.concatenate([tails(model, own) for _, own in words.chunks(batch.column(len(names)))])
                 columns = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "expected_grade", "p_good", "p_clean", "kept"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *scores])
 
-    schema = "doc_id bigint, expected_grade double, p_good double, p_clean double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = T.StructType(rows.schema.fields[: len(names)]).add("expected_grade", "double").add("p_good", "double").add("p_clean", "double")
+    return rows.mapInArrow(run, schema.add("kept", "boolean"))
 
 
-def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, extra: list[str] | None = None) -> DataFrame:
     """Fit on ``labels`` and score all of ``docs``; null texts count as empty and have the score 0.
 
     Null or repeated ids and repeated rows are scored each; empty documents give no rows; without labels every
     document has the same tails of one half.
     """
-    return score(docs, train(docs, labels, sample))
+    return score(docs, train(docs, labels, sample), extra)
 
 
 def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:

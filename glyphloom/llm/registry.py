@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from glyphloom.llm import op10_line_join as lines
 from glyphloom.llm.op1_ordinal import op1_ordinal
 from glyphloom.llm.op2_bin_completion import op2_bin_completion
@@ -22,8 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     found = [op1_ordinal, op2_bin_completion, op3_lpt_shards, op4_hnsw, op5_ogg, op6_monoid_bpe, op7_heavy_light, op8_wrapper, op9_packed_ids, lines.op10_line_join]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_join": lines.ORACLE}
+    known = {"op10_line_join": lines.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in known.items() if sql}
