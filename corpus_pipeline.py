@@ -1 +1,69 @@
-raise NotImplementedError
+"""Corpus pipeline: rate, remove repeated lines, keep one of each group of near copies, pack into sequences.
+
+Each stage reads what the one before has kept. The first three return documents with the columns of the input; the
+last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphloom.llm.common import materialise, modest_batches, scratch_dir, table
+from glyphloom.llm.op1_ordinal import rate
+from glyphloom.llm.op2_bin_completion import pack
+from glyphloom.llm.op7_heavy_light import linked
+from glyphloom.llm.op10_line_join import dedup_lines
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject. A document that has a null id is rated by its text too."""
+    rated = rate(docs, table(spark, sf_dir, "labels"), extra=docs.columns)
+    return rated.where("kept").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; n_chars follows the text, and a text left empty goes."""
+    modest_batches(spark)
+    lean = dedup_lines(docs).where("n_removed = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        lean = lean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return lean.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near copies; documents with null ids stay."""
+    modest_batches(spark)
+    links = linked(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    links = materialise(links, "copies")
+    single = docs.join(links, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    return single.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, in as few sequences as the search finds."""
+    modest_batches(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("best-fit packing", packed),
+]
+
+#: The classifier is fitted and the packing is a search; neither is expressed in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stage's rows written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{scratch_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
