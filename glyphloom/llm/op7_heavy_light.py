@@ -6,7 +6,7 @@ for it. Two sets of sizes n and m link when they share ``need(n, m)`` shingles.
 Light sets (up to a size that a cost estimate chooses) emit all their subsets of exactly the size that a partner
 of each possible size needs; two sets that meet in a subset link without further ado. Heavy sets go to inverted
 lists of their prefixes: the first shingles in a global order that leave too few others for a link. Shingles of
-lines that many texts share come last in that order, the others follow their hashes; any order gives the same
+lines and passages that many texts share come last in that order, the others follow their hashes; any order gives the same
 links, this one keeps lists short. Light sets that a heavy one may link to are in the lists too.
 
 Long lists mostly belong to groups of near copies. They are first contracted: members are compared with one hub
@@ -31,7 +31,10 @@ from glyphloom.llm.common import discard, materialise, table
 from glyphloom.llm.components import components
 
 PERCENT = 80
-FREQUENT_LINE = 16  # texts that share a line before its shingles come last
+FREQUENT = 16  # texts that share a line or passage before its shingles come last
+SAMPLED = 16  # shingles with hashes divisible by this show where frequent passages are
+AROUND = 48  # shingles to each side of one of these that come last with it
+PASSAGES = 50_000  # such shingles at most
 LINES = 20_000  # lines at most whose shingles come last: an order may leave any out
 LATE = 2_000_000  # shingles at most that come last
 BROADCAST_IDS = 500_000  # ids at most that are sent to every executor; more are joined by shuffle
@@ -71,20 +74,55 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and a 128-bit signature of each document's set."""
+    """Size and a 128-bit signature of each document's set, and its shingles with hashes of a fixed residue."""
     salt = np.uint64(0xA0761D6478BD642F)
     for batch in batches:
-        n, one, two = [], [], []
+        n, one, two, some = [], [], [], []
         for own in _sets(batch.column(1)):
             n.append(len(own))
+            some.append(_signed(own[own % np.uint64(SAMPLED) == 0]))
             one.append(own.sum(dtype=np.uint64))
             two.append(words.mix(own ^ salt).sum(dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int32()), *(pa.array(_signed(np.array(x, dtype=np.uint64))) for x in (one, two))],
-            ["doc_id", "n", "s1", "s2"],
+            [
+                batch.column(0), pa.array(n, pa.int32()), *(pa.array(_signed(np.array(x, dtype=np.uint64))) for x in (one, two)),
+                pa.array(some, pa.list_(pa.int64())),
+            ],
+            ["doc_id", "n", "s1", "s2", "some"],
         )
 
 
+def passage_shingles(docs: DataFrame, sizes: DataFrame) -> np.ndarray:
+    """Shingles of passages that many texts share, sorted.
+
+    The numbers of texts are counted for all shingles of one hash residue, over all documents; a passage of some
+    length has one of these. Of the ``PASSAGES`` most frequent, one document each shows what stands around it.
+    """
+    hits = sizes.where("n > 0 and doc_id is not null").select("s1", "doc_id", F.explode("some").alias("shingle"))
+    hits = hits.groupBy("shingle", "s1").agg(F.min("doc_id").alias("d")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"))
+    top = hits.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "shingle").limit(PASSAGES).select("shingle", "d").toPandas()
+    known = np.sort(np.array(top["shingle"], dtype=np.int64).view(np.uint64))
+    if not len(known):
+        return known
+    where = docs.sparkSession.createDataFrame(top[["d"]].drop_duplicates().astype("int64"), "doc_id bigint")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, own in words.chunks(batch.column(0)):
+                for run in own.shingles():
+                    hit = known[np.minimum(np.searchsorted(known, run), len(known) - 1)] == run
+                    if hit.any():
+                        edge = np.zeros(len(run) + 1, dtype=np.int64)
+                        at = np.flatnonzero(hit)
+                        np.add.at(edge, np.maximum(at - AROUND, 0), 1)
+                        np.add.at(edge, np.minimum(at + AROUND + 1, len(run)), -1)
+                        yield pa.RecordBatch.from_arrays([pa.array(_signed(np.unique(run[np.cumsum(edge[:-1]) > 0])))], ["shingle"])
+
+    shown = docs.join(F.broadcast(where), "doc_id", "left_semi").select("text").mapInArrow(around, "shingle bigint")
+    found = shown.distinct().limit(LATE).toPandas()["shingle"]
+    return np.unique(np.concatenate([known, np.array(found, dtype=np.int64).view(np.uint64)]))
+
+
 def late_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of the lines that most texts share, sorted: at most ``LATE`` of at most ``LINES`` lines."""
     lines = docs.where("text is not null").select(
@@ -93,7 +131,7 @@ def late_shingles(docs: DataFrame) -> np.ndarray:
     hashed = lines.where("length(line) > 8").select(F.xxhash64("line").alias("l"), "t", "doc_id")
     often = (
         hashed.groupBy("l", "t").agg(F.min("doc_id").alias("d")).groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"))
-        .where(F.col("c") >= FREQUENT_LINE).orderBy(F.desc("c"), "l").limit(LINES)
+        .where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "l").limit(LINES)
     )
     top = materialise(often, "lines")
     where = F.broadcast(top.select(F.col("d").alias("doc_id")).distinct())
@@ -262,14 +300,14 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table gives no rows. Columns other than doc_id and text are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sizes = materialise(docs.mapInArrow(_describe, "doc_id bigint, n int, s1 bigint, s2 bigint"), "sizes")
+    sizes = materialise(docs.mapInArrow(_describe, "doc_id bigint, n int, s1 bigint, s2 bigint, some array<bigint>"), "sizes")
     full = sizes.where("n > 0 and doc_id is not null")
     classes = materialise(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     members = materialise(full.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "node"), "members")
     copies = materialise(members.where("doc_id <> node").select("doc_id").distinct().join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_anti"), "copies")
     texts = docs.where("doc_id is not null")
 
-    late = late_shingles(texts)
+    late = np.union1d(late_shingles(texts), passage_shingles(texts, sizes))
     shown = only(prefixes(texts, late, percent).where("n > 0").withColumnRenamed("node", "doc_id"), copies, "left_anti")
     held = materialise(shown.withColumnRenamed("doc_id", "node").select("node", "n", "prefix"), "prefixes")
     entries = held.mapInArrow(_unfold, "shingle bigint, node bigint, n int")
