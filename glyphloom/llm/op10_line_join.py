@@ -103,11 +103,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     lines = numbered_lines(docs.select(F.col("doc_id").cast("long"), "text"))
     n = F.size("s")
+    # No filter on the shingles here: pushed down, it would compute the words again for each shingle.
     members = materialise(
-        with_shingles(lines).where(n > 0).select(
-            "doc_id", "text_hash", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), F.slice("s", 1, _prefix(n, percent)).alias("prefix")
+        with_shingles(lines).select(
+            "doc_id", "text_hash", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix")
         ), "lines"
-    )
+    ).where("n > 0")
     place = F.struct("doc_id", "text_hash", "line_no")
     firsts = materialise(members.groupBy("cls").agg(F.min(place).alias("first")), "firsts")
 
