@@ -96,23 +96,33 @@ SCHEMA = (
 )
 
 
-def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """One row per packed sequence of all documents (``doc_id``, ``text``; other columns are ignored).
+DIGESTS = (
+    "sequence_id bigint, n_tokens int, n_segments int, doc_ids array<bigint>, pieces array<int>, "
+    "input_ids_crc32 bigint, cu_seqlens_crc32 bigint, position_ids_crc32 bigint"
+)
+BROADCAST_PLACES = 500_000  # places at most that go to every executor; more are joined by shuffle
 
-    ``input_ids`` and ``position_ids`` have ``capacity`` entries, padded by 0; ``cu_seqlens`` begins with 0 and ends
-    with the number of tokens. A null text counts as empty and is one end id. Null or repeated ids and repeated rows
-    are packed each; an empty table gives no rows.
-    """
-    path = vocabulary or vocabulary_path()
-    pieces = materialise(cut(docs, path, capacity, with_ids=True), "pieces")
+
+def _grouped(docs: DataFrame, capacity: int, vocabulary: str | None) -> DataFrame:
+    """sequence_id and parts, the pieces of the sequence in order. Ids are moved once, to their sequence."""
+    own = cut(docs, vocabulary or vocabulary_path(), capacity, with_ids=True).withColumn("key", F.monotonically_increasing_id())
+    pieces = materialise(own, "pieces")
     counts = histogram(pieces, capacity)
-    narrow = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-    placed = place(narrow, best_fit_decreasing(counts, capacity), int(counts.sum()))
+    total = int(counts.sum())
+    placed = place(pieces.select("doc_id", "piece", "ids_crc32", "length", "key"), best_fit_decreasing(counts, capacity), total)
+    places = materialise(placed.select("key", "sequence_id", "offset"), "places")
+    joined = pieces.join(F.broadcast(places) if total <= BROADCAST_PLACES else places, "key")
     parts = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))
-    rows = placed.groupBy("sequence_id").agg(parts.alias("parts"))
+    return joined.groupBy("sequence_id").agg(parts.alias("parts"))
+
+
+def _built(rows: DataFrame, capacity: int, digest: bool) -> DataFrame:
+    schema = DIGESTS if digest else SCHEMA
+    names = [part.split()[0] for part in schema.split(", ")]
+    last = pa.int64() if digest else pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[last] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -124,32 +134,33 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
                     ids[:total] = np.concatenate([np.frombuffer(x["ids"], dtype="<u2") for x in own])
                     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                     positions[:total] = np.arange(total, dtype=np.int32) - np.repeat(starts[:-1], lengths)
-                    out.append((sequence, total, len(own), [x["doc_id"] for x in own], [x["piece"] for x in own], ids, starts, positions))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds, strict=True)], names)
+                    made = [zlib.crc32(x.astype("<u4").tobytes()) if digest else x for x in (ids, starts, positions)]
+                    out.append((sequence, total, len(own), [x["doc_id"] for x in own], [x["piece"] for x in own], *made))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
-def write_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> None:
-    """Write packed rows as Parquet, one fixed-width row of ids per sequence."""
-    packed_rows(docs, capacity, vocabulary).write.parquet(path)
+def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """One row per packed sequence of all documents (``doc_id``, ``text``; other columns are ignored).
+
+    ``input_ids`` and ``position_ids`` have ``capacity`` entries, padded by 0; ``cu_seqlens`` begins with 0 and ends
+    with the number of tokens. A null text counts as empty and is one end id. Null or repeated ids and repeated rows
+    are packed each; an empty table gives no rows.
+    """
+    return _built(_grouped(docs, capacity, vocabulary), capacity, digest=False)
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """Packed rows with ids, boundaries and positions as CRC-32 of their little-endian unsigned 32-bit values."""
+def packed_digests(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """The same rows with each id matrix row, its boundaries and its positions as CRC-32 of little-endian unsigned 32-bit values."""
+    return _built(_grouped(docs, capacity, vocabulary), capacity, digest=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [batch.column(i) for i in range(5)]
-            for i in range(5, 8):
-                values = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in batch.column(i)]
-                arrays.append(pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:5], "input_ids_crc32", "cu_seqlens_crc32", "position_ids_crc32"])
 
-    schema = "sequence_id bigint, n_tokens int, n_segments int, doc_ids array<bigint>, pieces array<int>, input_ids_crc32 bigint, cu_seqlens_crc32 bigint, position_ids_crc32 bigint"
-    return rows.mapInArrow(run, schema)
+def write_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> None:
+    """Write packed rows as Parquet, one fixed-width row of ids per sequence."""
+    packed_rows(docs, capacity, vocabulary).write.parquet(path)
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(packed_rows(table(spark, sf_dir, "documents")))
+    return packed_digests(table(spark, sf_dir, "documents"))

@@ -34,11 +34,12 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = np.frombuffer(coder.ids(text.as_py() or "") + end, dtype="<u2")
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc, coded in zip(part.column(0).to_pylist(), coder.ids(texts), strict=True):
+                    ids = np.frombuffer(coded + end, dtype="<u2")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         row = (doc, k, start, len(own), zlib.crc32(own.astype("<u4").tobytes()))

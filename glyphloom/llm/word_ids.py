@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import public_tokenizers
 
-MAX_REMEMBERED = 700_000
+MAX_REMEMBERED = 900_000
 END_ID = 1
 _TAIL = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 _MARKS = re.compile(b"[\xcc\xcd]")
@@ -41,43 +42,48 @@ class WordEncoder(dict):
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def learn(self, words: list[bytes]) -> None:
+    def encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words and their ids. Lower-case words of Latin letters are one run each, so many are encoded as one text."""
         import numpy as np
 
-        if len(self) + len(words) > MAX_REMEMBERED:
-            self.clear()
-        texts = [w.decode() for w in words]
-        # Lower-case words of Latin letters are one run each: many are encoded as one text and told apart by their last tokens.
-        plain, others = [], []
-        for i, t in enumerate(texts):
-            (plain if t.isalpha() and t.islower() and max(t) < "\u0250" else others).append(i)
+        plain: list[bytes] = []
+        texts: list[str] = []
+        others: list[bytes] = []
+        for word in words:
+            text = word.decode()
+            if text.isalpha() and text.islower() and max(text) < "\u0250":
+                plain.append(word)
+                texts.append(text)
+            else:
+                others.append(word)
         if plain:
-            joined = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in plain])], add_special_tokens=False)
-            ids = np.array(joined[0].ids, dtype="<u2")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            raw, at = ids.tobytes(), 0
-            for i, cut in zip(plain, cuts.tolist(), strict=True):
-                self[words[i]] = raw[at:cut]
-                at = cut
-        for i, coded in zip(others, self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False), strict=True):
-            self[words[i]] = np.array(coded.ids, dtype="<u2").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text, as little-endian 16-bit bytes."""
-        raw = text.encode()
-        if not _MARKS.search(raw):
-            raw = _TAIL.sub(rb" \g<0>", raw.lower())
-        words = raw.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in self]
-            self.learn(new)
-            try:
-                return b"".join(map(self.__getitem__, words))
-            except KeyError:  # the memory was emptied
-                self.learn([w for w in set(words) if w not in self])
-                return b"".join(map(self.__getitem__, words))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u2")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
+            if len(cuts) != len(plain):
+                raise AssertionError("a word has more than one run")
+            raw = ids.tobytes()
+            yield from zip(plain, map(raw.__getitem__, map(slice, [0, *cuts], cuts)))
+        for word, coded in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
+            yield word, np.array(coded.ids, dtype="<u2").tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, as little-endian 16-bit bytes."""
+        done: list[list[bytes | None]] = []
+        unseen: list[tuple[int, list[tuple[int, bytes]]]] = []
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            words = (raw if _MARKS.search(raw) else _TAIL.sub(rb" \g<0>", raw.lower())).split()
+            done.append(list(map(self.get, words)))
+            if None in done[-1]:
+                unseen.append((i, [(k, words[k]) for k, known in enumerate(done[-1]) if known is None]))
+        if unseen:
+            found = dict(self.encoded(list({word for _, places in unseen for _, word in places})))
+            if len(self) < MAX_REMEMBERED:  # words met early are the common ones; later ones serve these texts only
+                self.update(found)
+            for i, places in unseen:
+                for k, word in places:
+                    done[i][k] = found[word]
+        return list(map(b"".join, done))
 
 
 _encoders: dict[str, WordEncoder] = {}
