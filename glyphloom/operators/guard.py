@@ -53,6 +53,7 @@ def run_guards(spark: SparkSession, root: str) -> int:
             print("Guard checks failed:", file=sys.stderr)
         bad = True
         print(f"  {row['path'].removeprefix(root.rstrip('/') + '/')}:{row['line_no']}: {row['kind']} {shown(row['line'])}", file=sys.stderr)
+    found.unpersist()
     if not bad:
         print("Guard checks passed: no violations found.")
     return 2 if bad else 0
