@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import words
@@ -256,6 +256,15 @@ def light_links(docs: DataFrame, nodes: DataFrame, largest: int, percent: int) -
     return keyed.join(met, ["key", "lo", "hi"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
+def _could_link(n: Column, m: Column, common: Column, percent: int) -> Column:
+    """Whether sets of sizes n and m with at most ``common`` common prefix shingles could link.
+
+    What they share is in both prefixes, or in the part after the prefix that ends first.
+    """
+    rest = F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) - 1
+    return common + rest >= F.ceil(percent * (n + m) / (100 + percent))
+
+
 def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, ...]:
     """Links found by comparing members of long lists with one hub each, in rounds with other hubs.
 
@@ -265,7 +274,7 @@ def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int
     """
     labels = materialise(components(links), "labels")
     for turn in range(ROUNDS + 1):
-        placed = long.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("comp"))
+        placed = long.join(labels, "node", "left").select("shingle", "node", "n", "e", F.coalesce("component", "node").alias("comp"))
         placed = materialise(placed, "placed")
         shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         lists = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
@@ -276,11 +285,14 @@ def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int
         if turn == ROUNDS or not left[0] or turn and left[0] <= LONG * left[1]:
             placed = materialise(placed, "placed")
             return links, labels, placed, materialise(placed.select("shingle", "comp").distinct(), "parted")
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"))
+        # The first hub is the set with the largest share of its prefix in lists: the middle of a group of near copies.
+        middle = -F.col("e") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) if turn == 0 else F.lit(0.0)
+        rank = F.struct(middle.alias("m"), F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"), F.col("e"))
         own = materialise(placed, "own")
         hubs = own.groupBy("shingle").agg(F.min(rank).alias("hub"))
         near = own.join(hubs, "shingle").where(
             (F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
+            & _could_link(F.col("n"), F.col("hub.n"), F.least("e", "hub.e"), percent)
         )
         best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -322,12 +334,15 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     if largest:
         lists = lists.where(F.col("n") >= percent * (largest + 1) // 100)
-    long = materialise(lists.where(F.col("c") > LONG).drop("c"), "long")
+    # No pair shares more prefix shingles than one of its sets has in lists at all.
+    degrees = lists.groupBy("node").agg(F.count(F.lit(1)).alias("e"))
+    long = materialise(lists.where(F.col("c") > LONG).drop("c").join(degrees, "node").select("shingle", "node", "n", "e"), "long")
     links, labels, placed, parted = contracted(texts, long, links, percent)
     met = parted.select("shingle", F.col("comp").alias("p")).join(parted.select("shingle", F.col("comp").alias("q")), "shingle").where("p < q")
-    first = placed.select("shingle", F.col("comp").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"))
-    second = placed.select("shingle", F.col("comp").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    first = placed.select("shingle", F.col("comp").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"))
+    second = placed.select("shingle", F.col("comp").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"))
     across = met.join(first, ["shingle", "p"]).join(second, ["shingle", "q"])
+    across = across.where(_could_link(F.col("na"), F.col("nb"), F.least("ea", "eb"), percent))
     swap = F.col("a") > F.col("b")
     across = across.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))))
     short = lists.where(F.col("c") <= LONG)
@@ -337,10 +352,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.greatest("na", "nb") > largest)
     pairs = within.where(fits).unionByName(across.where(fits)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    # Common shingles are in both prefixes, or in the part after the prefix that ends first.
-    rest = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")))
-    enough = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    kept = materialise(pairs.where(F.col("k") + rest >= enough).select("a", "b"), "pairs")
+    kept = materialise(pairs.where(_could_link(F.col("na"), F.col("nb"), F.col("k"), percent)).select("a", "b"), "pairs")
     discard(lists)
     known = labels.select(F.col("node"), F.col("component"))
     for end in ("a", "b"):
