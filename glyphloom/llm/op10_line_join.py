@@ -75,12 +75,20 @@ def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _verified(lines: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """cls and line of the lines at ``places`` (doc_id, text_hash, line_no, cls); only their documents are split."""
+    by_text = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line_no", "cls")).alias("_at"))
+    by_text = materialise(by_text, "places")
+    hashed = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    split = hashed.join(_small(by_text), same).select(F.split("text", "\n").alias("lines"), F.explode("_at").alias("p"))
+    return split.select("p.cls", F.expr("lines[p.line_no]").alias("line"))
+
+
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The classes ``x`` of pairs whose sets are similar, compared in full."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    chosen = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("o"))
-    chosen = materialise(chosen.select("cls", "o.*"), "chosen")
-    full = with_shingles(_at(lines, chosen)).select("cls", "s")
+    wanted = materialise(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "wanted")
+    full = with_shingles(_at(docs, firsts.join(_small(wanted), "cls").select("cls", "first.*"))).select("cls", "s")
     sets = materialise(full.dropDuplicates(["cls"]), "sets")
     both = pairs.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
     both = both.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
@@ -88,60 +96,58 @@ def _verified(lines: DataFrame, members: DataFrame, pairs: DataFrame, percent: i
     return both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent).select(F.col("x").alias("cls")).distinct()
 
 
-def _at(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """The lines at the given places, with the other columns of ``places``."""
-    places = places.withColumnRenamed("doc_id", "_doc")
-    same = (lines["text_hash"] == places["text_hash"]) & (lines["line_no"] == places["line_no"]) & lines["doc_id"].eqNullSafe(places["_doc"])
-    return lines.join(_small(places), same).select(*(places[c] for c in places.columns if c not in ("_doc", "text_hash", "line_no")), lines["line"])
-
-
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash and line_no of every line that an earlier line makes redundant.
 
     Lines without words and null texts have none. Rows with equal id and text count as one document; among other
     rows of one id, or of null ids, which come first, the text's hash decides which is earlier.
     """
-    lines = numbered_lines(docs.select(F.col("doc_id").cast("long"), "text"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = F.size("s")
     # No filter on the shingles here: pushed down, it would compute the words again for each shingle.
     members = materialise(
-        with_shingles(lines).select(
+        with_shingles(numbered_lines(docs)).select(
             "doc_id", "text_hash", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix")
         ), "lines"
     ).where("n > 0")
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = materialise(members.groupBy("cls").agg(F.min(place).alias("first")), "firsts")
-
-    entries = members.select("cls", "n", F.posexplode("prefix").alias("at", "token"))
-    met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    shared = materialise(entries.join(met, "token").select("token", "cls", "n", (F.col("at") + 1).alias("at")).distinct(), "shared")
-
-    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
-    often = materialise(often, "often")
+    firsts = members.groupBy("cls").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    firsts = materialise(firsts, "firsts")
+
+    # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
+    entries = members.select("cls", F.explode("prefix").alias("token"))
+    met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    met = materialise(met, "met")
+    more = entries.join(_small(met.where("c > 2").select("token")), "token").select("token", "cls").distinct()
+    shared = met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more)
+    shared = materialise(shared, "shared")
+    often = materialise(shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "often")
     moved = materialise(shared.join(often, "token").select("cls").distinct(), "moved")
-    where = moved.join(firsts, "cls").select("cls", "first.*")
-    again = with_shingles(_at(lines, materialise(where, "places"))).dropDuplicates(["cls"])
+    again = with_shingles(_at(docs, firsts.join(_small(moved), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
     again = again.select("cls", F.size("s").alias("n"), F.explode("s").alias("token")).join(often, "token", "left")
     order = Window.partitionBy("cls").orderBy(F.coalesce("c", F.lit(0)), "token")
-    again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent)).select("token", "cls", "n", "at")
-    again = materialise(again, "again")
+    again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
+    again = materialise(again.select("token", "cls", F.col("at").cast("long")), "again")
     # A moved class may now meet others in shingles that no two prefixes shared before.
-    others = entries.join(again.select("token").distinct(), "token").select("token", "cls", "n", (F.col("at") + 1).alias("at")).distinct()
+    others = entries.join(_small(materialise(again.select("token").distinct(), "tokens")), "token").select("token", "cls")
     kept = shared.unionByName(others).distinct().join(moved, "cls", "left_anti")
-    lists = materialise(kept.unionByName(again).join(firsts, "cls"), "lists")
-    discard(shared, again)
+    wanted = materialise(kept.select("cls").distinct(), "wanted")
+    prefixes = members.join(_small(wanted), "cls").select("cls", "prefix").dropDuplicates(["cls"])
+    kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
+    lists = materialise(kept.unionByName(again).join(firsts.select("cls", "n", "first"), "cls"), "lists")
+    discard(met, shared, again)
 
     long = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "token")
     long = materialise(long, "long")
     heads = long.groupBy("token").agg(F.min(F.struct("first", "cls", "n", "at")).alias("head")).select("token", "head.*")
     near = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-    gone = materialise(_verified(lines, members, materialise(near, "near"), percent), "gone")
+    gone = materialise(_verified(docs, firsts, materialise(near, "near"), percent), "gone")
     pairs = materialise(_pairs(lists.join(gone, "cls", "left_anti"), lists, percent).select("x", "y"), "pairs")
     discard(lists, long)
-    gone = gone.unionByName(_verified(lines, members, pairs, percent)).distinct()
-    gone = materialise(gone, "gone").withColumn("gone", F.lit(True))
+    gone = materialise(gone.unionByName(_verified(docs, firsts, pairs, percent)).distinct(), "gone").withColumn("gone", F.lit(True))
 
-    state = members.select("doc_id", "text_hash", "line_no", "cls").join(firsts, "cls").join(gone, "cls", "left")
+    lost = firsts.join(gone, "cls", "left").where("gone or k > 1").select("cls", "first", "gone")
+    state = members.select("doc_id", "text_hash", "line_no", "cls").join(_small(materialise(lost, "lost")), "cls")
     return state.where(F.col("gone") | (F.col("first") != place)).select("doc_id", "text_hash", "line_no").distinct()
 
 
@@ -155,6 +161,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     removed = materialise(removed_lines(docs, percent), "removed")
     dropped = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     own = docs.withColumn("_text_hash", F.xxhash64("text"))
+    dropped = _small(materialise(dropped, "dropped"))
     joined = own.join(dropped, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
     lines = F.split("text", "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
