@@ -368,3 +368,19 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op7_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets
+), tokens AS (SELECT doc_id, unnest(s) AS t FROM sets
+), common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sizes LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
+"""
