@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import lstm
 from glyphloom.operators.corpus import UNK, windows
+from glyphloom.operators.ordering import running_total
 
 PARAMS = "name string, shape array<int>, values array<float>"
 FROZEN = "embedding.weight"
@@ -103,9 +104,9 @@ def batched(samples: DataFrame, batch: int, shuffle_seed: int | None = None) ->
     """Adds batch_id. Samples keep their order, or are shuffled by a seeded hash; a short last batch is kept."""
     if shuffle_seed is None:
         return samples.withColumn("batch_id", F.floor(F.col("i") / batch).cast("long"))
-    n = samples.count()
-    dealt = F.pmod(F.xxhash64("i", F.lit(shuffle_seed)), F.lit(max(1, -(-n // batch))))
-    return samples.withColumn("batch_id", dealt.cast("long"))
+    drawn = F.pmod(F.xxhash64("i", F.lit(shuffle_seed)), F.lit(1 << 22)) * (1 << 40) + F.col("i")
+    placed = running_total(samples.withColumn("_drawn", drawn).withColumn("_all", F.lit(0)), ["_all"], "_drawn", F.lit(1), "_place", "_n", 1 << 50)
+    return placed.withColumn("batch_id", F.floor(F.col("_place") / batch).cast("long")).drop("_drawn", "_all", "_place", "_n")
 
 
 def train(train_set: DataFrame, val_set: DataFrame, vocab_size: int, config: Config, start: lstm.Params | None = None, freeze: bool = False) -> tuple[lstm.Params, list[dict]]:
@@ -116,13 +117,11 @@ def train(train_set: DataFrame, val_set: DataFrame, vocab_size: int, config: Con
     val = batched(val_set, config.batch).persist()
     for epoch in range(1, config.epochs + 1):
         rows = batched(held, config.batch, config.seed + epoch).persist()
-        count = (rows.agg(F.max("batch_id")).first()[0] or -1) + 1
+        last = rows.agg(F.max("batch_id")).first()[0]
+        count = 0 if last is None else last + 1
         losses = []
         for k in range(min(count, config.steps_per_epoch or count)):
-            part = rows.where(F.col("batch_id") == k)
-            if part.isEmpty():
-                continue
-            loss, grads = step_gradients(part, params)
+            loss, grads = step_gradients(rows.where(F.col("batch_id") == k), params)
             if freeze:
                 grads.pop(FROZEN)
             params = optimiser.step(params, lstm.clipped(grads))

@@ -67,6 +67,15 @@ def test_evaluation_weighs_a_short_batch_as_a_full_one(spark):
     assert training.evaluate(training.batched(table.where("i < 0"), 8), params) == (0.0, 1.0)
 
 
+def test_shuffled_batches_are_full_and_repeatable(spark):
+    table = samples(spark, "abcde" * 30, 5)
+    sizes = {r["batch_id"]: r["count"] for r in training.batched(table, 32, 7).groupBy("batch_id").count().collect()}
+    assert sizes == {0: 32, 1: 32, 2: 32, 3: 32, 4: 17}
+    order = [tuple(r) for r in training.batched(table, 32, 7).select("i", "batch_id").orderBy("i").collect()]
+    assert order == [tuple(r) for r in training.batched(table.repartition(3), 32, 7).select("i", "batch_id").orderBy("i").collect()]
+    assert [b for _, b in order] != sorted(b for _, b in order)
+
+
 def test_training_learns_freezes_and_saves(spark, tmp_path):
     table = samples(spark, "abababab" * 12 + "cdcdcdcd" * 12, 8)
     config = training.Config(seq_len=8, batch=32, embed=6, hidden=8, epochs=2, steps_per_epoch=4, lr=5e-2)
