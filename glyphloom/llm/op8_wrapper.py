@@ -29,9 +29,12 @@ SHARE = 0.5  # of the aligned pages that must have the same text outside the art
 SHARE_INSIDE = 0.9
 BROADCAST_ROWS = 200_000  # rows of templates at most that go to every executor; more are joined
 
+# A quote counts after an equals sign only; an open quote or an open comment ends where it must.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""",
+    re.DOTALL,
 )
+_OPEN = re.compile(r"<()(!)(--|\[CDATA\[|[a-zA-Z?]).*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -96,9 +99,9 @@ def parse(source: str) -> Page:
     pieces: list[tuple[int, int, str]] = []
     tags, path = [""], [0]
     block, at, size = 0, 0, len(source)
-    tokens = _TOKEN
+    tokens, last = _TOKEN, source.rfind(">") + 1  # nothing but an open comment can begin after the last end of a tag
     while at < size:
-        found = tokens.search(source, at)
+        found = tokens.search(source, at, last) if at < last else _OPEN.search(source, at)
         text = source[at : found.start()] if found else source[at:]
         if text:
             pieces.append((path[-1], block, text))
@@ -106,7 +109,7 @@ def parse(source: str) -> Page:
             break
         at = found.end()
         tag = found[2]
-        if tag is None:
+        if tag is None or tag == "!":
             if found[0].startswith("<![CDATA["):
                 pieces.append((path[-1], block, html.escape(found[0][9:].removesuffix("]]>"))))
             continue

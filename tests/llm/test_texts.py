@@ -159,6 +159,24 @@ def test_article_marks_and_named_parts():
     assert wrapper.extract(wrapper.parse(source), {}) == "Title <1>\n\none\n\na\n\nb"
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [("<p title=it's>a</p><p>don't</p>", "a\n\ndon't"), ('<p title="x>y">a', "a"), ('<p title="x>a<p>b', "a\n\nb"), ("<!-->a<!-- b -->c<!-- d", "ac"), ("a < b <", "a < b <"),
+     ("<p>a<table><tr><td>b<td>c</table>d", "a\n\nb\n\nc\n\nd"), ("<script>var a='</p>';</script>x<style>y", "x"), ("&lt;b&gt; &eacute;&#233;&nbsp; z", "<b> éé z"), ("", "")],
+)
+def test_broken_markup(source, text):
+    assert wrapper.extract(wrapper.parse(source), {}) == text
+
+
+def test_parsing_time_is_linear():
+    import time
+
+    for source in ("<a " * 20_000, '<a b="' * 20_000, "<!--" * 20_000, "<p>" * 20_000, "<a b='c" * 20_000):
+        began = time.time()
+        wrapper.parse(source)
+        assert time.time() - began < 20
+
+
 def test_tree_matching_pairs_what_is_alike():
     one, two = "0 html\n1 div.a\n2 p\n1 div.b", "0 html\n1 span\n1 div.a\n3 p\n1 div.b"
     assert wrapper.align(one, two) == {0: 0, 1: 1, 2: 3, 3: 4, 4: 5}
