@@ -4,10 +4,11 @@ A line is the set of the five-word shingles of its lower-cased words; a shorter
 words. A line is removed if an earlier line, by document id and line number, has a Jaccard similarity of 0.8 or
 more with it. Lines with equal sets form a class, of which only the first line can stay.
 
-Shingles are ordered by rarity: those found in more than ``FREQUENT`` classes' prefixes come after all others, by
-that number; the others count as equally rare and follow their hashes. Classes that share a prefix shingle are
+Shingles are ordered by rarity: those of lines with some shingle in more than ``FREQUENT`` classes' prefixes
+are counted over all such lines, and the frequent ones among them come after all others, by that number; the others
+count as equally rare and follow their hashes. Classes that share a prefix shingle are
 candidates if lengths and positions allow enough common shingles. In long lists members are first compared with the
-list's earliest class, so that groups of near copies need no pairs among themselves; then what is not yet removed is
+list's earliest class and with the one that has most of its prefix in lists, so that groups of near copies need no pairs among themselves; then what is not yet removed is
 compared with all earlier candidates in full.
 """
 
@@ -61,14 +62,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     """Candidates (x, y) with y the earlier: they meet in a prefix and could share enough shingles."""
-    a = later.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "at", "first")))
-    b = earlier.select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "at", "first")))
+    a = later.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "at", "first", "e")))
+    b = earlier.select("token", *(F.col(c).alias(f"y_{c}") for c in ("cls", "n", "at", "first", "e")))
     n, m, i, j = (F.col(c) for c in ("x_n", "y_n", "x_at", "y_at"))
     rest = F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) - 1
     return (
         a.join(b, "token")
         .where((F.col("y_first") < F.col("x_first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent))
         .where(F.least(i, j) + F.least(n - i, m - j) >= _need(n, m, percent))
+        .where(F.least("x_e", "y_e") + rest >= _need(n, m, percent))
         .groupBy(F.col("x_cls").alias("x"), F.col("y_cls").alias("y"), "x_n", "y_n")
         .agg(F.count(F.lit(1)).alias("k"))
         .where(F.col("k") + rest >= _need(n, m, percent))
@@ -122,9 +124,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shared = met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more)
     shared = materialise(shared, "shared")
     often = materialise(shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "often")
-    moved = materialise(shared.join(often, "token").select("cls").distinct(), "moved")
-    again = with_shingles(_at(docs, firsts.join(_small(moved), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
-    again = again.select("cls", F.size("s").alias("n"), F.explode("s").alias("token")).join(often, "token", "left")
+    struck = materialise(shared.join(often, "token").select("cls").distinct(), "struck")
+    # All shingles of these lines are counted: what stands around a frequent shingle mostly is as frequent.
+    full = with_shingles(_at(docs, firsts.join(_small(struck), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
+    full = materialise(full.select("cls", F.size("s").alias("n"), F.explode("s").alias("token")), "full")
+    late = materialise(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "late")
+    moved = materialise(entries.join(_small(late), "token").select("cls").distinct(), "moved")
+    rest = moved.join(struck, "cls", "left_anti")
+    newly = with_shingles(_at(docs, firsts.join(_small(materialise(rest, "rest")), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
+    newly = newly.select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))
+    again = full.join(moved, "cls", "left_semi").unionByName(newly).join(_small(late), "token", "left")
     order = Window.partitionBy("cls").orderBy(F.coalesce("c", F.lit(0)), "token")
     again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
     again = materialise(again.select("token", "cls", F.col("at").cast("long")), "again")
@@ -135,12 +144,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefixes = members.join(_small(wanted), "cls").select("cls", "prefix").dropDuplicates(["cls"])
     kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
     lists = materialise(kept.unionByName(again).join(firsts.select("cls", "n", "first"), "cls"), "lists")
-    discard(met, shared, again)
+    discard(met, shared, full, again)
+    # No pair shares more prefix shingles than one of its sets has in lists at all.
+    degrees = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("e"))
+    lists = materialise(lists.join(degrees, "cls"), "lists")
 
     long = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "token")
     long = materialise(long, "long")
-    heads = long.groupBy("token").agg(F.min(F.struct("first", "cls", "n", "at")).alias("head")).select("token", "head.*")
-    near = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
+    near = None
+    for lead in (F.struct("first"), F.struct(-F.col("e") / _prefix(F.col("n"), percent), "first")):
+        heads = long.groupBy("token").agg(F.min(F.struct(lead.alias("lead"), "cls", "n", "at", "first", "e")).alias("head")).select("token", "head.*")
+        best = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
+        near = best if near is None else near.unionByName(best).distinct()
     gone = materialise(_verified(docs, firsts, materialise(near, "near"), percent), "gone")
     pairs = materialise(_pairs(lists.join(gone, "cls", "left_anti"), lists, percent).select("x", "y"), "pairs")
     discard(lists, long)
