@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm import words
@@ -256,13 +256,13 @@ def light_links(docs: DataFrame, nodes: DataFrame, largest: int, percent: int) -
     return keyed.join(met, ["key", "lo", "hi"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _could_link(n: Column, m: Column, common: Column, percent: int) -> Column:
-    """Whether sets of sizes n and m with at most ``common`` common prefix shingles could link.
+def _common_prefix(n: Column, m: Column, percent: int) -> Column:
+    """Prefix shingles that sets of sizes n and m must share to link.
 
     What they share is in both prefixes, or in the part after the prefix that ends first.
     """
     rest = F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) - 1
-    return common + rest >= F.ceil(percent * (n + m) / (100 + percent))
+    return F.ceil(percent * (n + m) / (100 + percent)) - rest
 
 
 def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, ...]:
@@ -274,7 +274,7 @@ def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int
     """
     labels = materialise(components(links), "labels")
     for turn in range(ROUNDS + 1):
-        placed = long.join(labels, "node", "left").select("shingle", "node", "n", "e", F.coalesce("component", "node").alias("comp"))
+        placed = long.join(labels, "node", "left").select("shingle", "node", "n", "e", "r", "l", F.coalesce("component", "node").alias("comp"))
         placed = materialise(placed, "placed")
         shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
         lists = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
@@ -292,7 +292,7 @@ def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int
         hubs = own.groupBy("shingle").agg(F.min(rank).alias("hub"))
         near = own.join(hubs, "shingle").where(
             (F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
-            & _could_link(F.col("n"), F.col("hub.n"), F.least("e", "hub.e"), percent)
+            & (F.least("e", "hub.e") >= _common_prefix(F.col("n"), F.col("hub.n"), percent))
         )
         best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -336,23 +336,35 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         lists = lists.where(F.col("n") >= percent * (largest + 1) // 100)
     # No pair shares more prefix shingles than one of its sets has in lists at all.
     degrees = lists.groupBy("node").agg(F.count(F.lit(1)).alias("e"))
-    long = materialise(lists.where(F.col("c") > LONG).drop("c").join(degrees, "node").select("shingle", "node", "n", "e"), "long")
+    long = lists.where(F.col("c") > LONG).drop("c").join(degrees, "node")
+    own = Window.partitionBy("node")
+    long = long.withColumn("r", F.row_number().over(own.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(own))
+    long = materialise(long.select("shingle", "node", "n", "e", "r", "l"), "long")
     links, labels, placed, parted = contracted(texts, long, links, percent)
     met = parted.select("shingle", F.col("comp").alias("p")).join(parted.select("shingle", F.col("comp").alias("q")), "shingle").where("p < q")
-    first = placed.select("shingle", F.col("comp").alias("p"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"))
-    second = placed.select("shingle", F.col("comp").alias("q"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"))
-    across = met.join(first, ["shingle", "p"]).join(second, ["shingle", "q"])
-    across = across.where(_could_link(F.col("na"), F.col("nb"), F.least("ea", "eb"), percent))
-    swap = F.col("a") > F.col("b")
-    across = across.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("a", "b", "a"), ("b", "a", "b"), ("na", "nb", "na"), ("nb", "na", "nb"))))
+    sides = {}
+    for part, end in (("p", "a"), ("q", "b")):
+        sides[end] = placed.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in "nerl"))
+    across = met.join(sides["a"], ["shingle", "p"]).join(sides["b"], ["shingle", "q"])
+    na, nb = F.col("na"), F.col("nb")
+    fits = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.greatest(na, nb) > largest)
+    # Of the entries that both have in long lists at least ``most`` must agree, so the first that agrees comes early in both.
+    least = _common_prefix(na, nb, percent)
+    most = F.greatest(least - F.least(F.col("ea") - F.col("la"), F.col("eb") - F.col("lb")), F.lit(1))
+    early = (F.col("ra") <= F.col("la") - most + 1) & (F.col("rb") <= F.col("lb") - most + 1)
+    across = across.where(fits & (F.least("ea", "eb") >= least) & early)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     short = lists.where(F.col("c") <= LONG)
     within = (
         short.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
-        .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").drop("shingle")
+        .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").where(fits)
+        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     )
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.greatest("na", "nb") > largest)
-    pairs = within.where(fits).unionByName(across.where(fits)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    kept = materialise(pairs.where(_could_link(F.col("na"), F.col("nb"), F.col("k"), percent)).select("a", "b"), "pairs")
+    in_long = long.select("node", "l").distinct()
+    for end in ("a", "b"):
+        within = within.join(in_long.select(F.col("node").alias(end), F.col("l").alias(f"l{end}")), end, "left")
+    common = F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    kept = materialise(within.where(common >= least).select("a", "b").unionByName(across).distinct(), "pairs")
     discard(lists)
     known = labels.select(F.col("node"), F.col("component"))
     for end in ("a", "b"):
