@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 20_000
+TIDY_EVERY = 8  # materialised tables between two collections
 _own_dirs: dict[str, str] = {}
 _paths: dict[int, tuple[DataFrame, str]] = {}
 
@@ -61,9 +63,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
+    if len(_paths) % TIDY_EVERY == 0:
+        tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage on the driver: shuffle files of finished jobs go, and memory that plans and models took."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more, and let Spark drop shuffle files of finished jobs."""
     for df in tables:
@@ -72,9 +84,8 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        tidy(tables[0].sparkSession)
 
 
 def bucket_count(rows: int) -> int:

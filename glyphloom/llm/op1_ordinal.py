@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from glyphloom.llm import words
 from glyphloom.llm.common import materialise, table
 
-SAMPLE = 8_192  # labelled documents that the model is fitted on, at most
+SAMPLE = 4_096  # labelled documents that the model is fitted on, at most
 BUCKETS = 1 << 18
 GRADES = 3
 LEAST_DOCS = 8  # sampled documents that must have a feature before it gets a weight
@@ -82,6 +82,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
     own = often[bucket]
     row, bucket, value = row[own], bucket[own], value[own]
     used, local = np.unique(bucket, return_inverse=True)
+    local = local.astype(np.int32)
     w = np.zeros(len(used))
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for step in range(1, steps + 1):
@@ -142,11 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 )
 
     own = rows.select("text", "grade").mapInArrow(run, "grade int, buckets array<int>, amounts array<float>").toArrow()
-    lengths = np.array(own.column("buckets").combine_chunks().value_lengths(), dtype=np.int64) if own.num_rows else np.zeros(0, np.int64)
-    flat = (own.column(c).combine_chunks().flatten().to_numpy() if own.num_rows else np.zeros(0) for c in ("buckets", "amounts"))
-    buckets, amounts = flat
+    if not own.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))
+    buckets, amounts = (own.column(c).combine_chunks() for c in ("buckets", "amounts"))
     grade = own.column("grade").to_numpy().astype(np.int64)
-    return fit(np.repeat(np.arange(len(grade)), lengths), buckets.astype(np.int64), amounts.astype(np.float64), grade)
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), buckets.value_lengths().to_numpy(zero_copy_only=False))
+    buckets, amounts = buckets.flatten().to_numpy(), amounts.flatten().to_numpy()
+    del own
+    return fit(row, buckets, amounts, grade)
 
 
 def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
