@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import materialise, modest_batches, scratch_dir, table
+from glyphloom.llm.common import materialise, modest_batches, scratch_dir, table, tidy
 from glyphloom.llm.op1_ordinal import rate
 from glyphloom.llm.op2_bin_completion import pack
 from glyphloom.llm.op7_heavy_light import linked
@@ -20,6 +20,7 @@ from glyphloom.llm.op10_line_join import dedup_lines
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A document that has a null id is rated by its text too."""
+    tidy(spark)
     rated = rate(docs, table(spark, sf_dir, "labels"), extra=docs.columns)
     return rated.where("kept").select(*docs.columns)
 
@@ -27,6 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; n_chars follows the text, and a text left empty goes."""
     modest_batches(spark)
+    tidy(spark)
     lean = dedup_lines(docs).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         lean = lean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -36,6 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies; documents with null ids stay."""
     modest_batches(spark)
+    tidy(spark)
     links = linked(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     links = materialise(links, "copies")
     single = docs.join(links, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
@@ -45,6 +48,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, in as few sequences as the search finds."""
     modest_batches(spark)
+    tidy(spark)
     return pack(docs)
 
 
