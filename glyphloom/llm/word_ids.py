@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import public_tokenizers
 
-MAX_REMEMBERED = 900_000
+MAX_REMEMBERED = 250_000
 END_ID = 1
 _TAIL = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
 _MARKS = re.compile(b"[\xcc\xcd]")
