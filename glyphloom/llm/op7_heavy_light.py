@@ -354,13 +354,15 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     early = (F.col("ra") <= F.col("la") - most + 1) & (F.col("rb") <= F.col("lb") - most + 1)
     across = across.where(fits & (F.least("ea", "eb") >= least) & early)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = materialise(across, "across")
     short = lists.where(F.col("c") <= LONG)
     within = (
         short.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
         .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").where(fits)
         .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     )
-    in_long = long.select("node", "l").distinct()
+    in_long = materialise(long.select("node", "l").distinct(), "in-long")
+    in_long = F.broadcast(in_long) if in_long.count() <= BROADCAST_IDS else in_long
     for end in ("a", "b"):
         within = within.join(in_long.select(F.col("node").alias(end), F.col("l").alias(f"l{end}")), end, "left")
     common = F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
