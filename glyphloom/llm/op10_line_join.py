@@ -4,7 +4,7 @@ A line is the set of the five-word shingles of its lower-cased words; a shorter
 words. A line is removed if an earlier line, by document id and line number, has a Jaccard similarity of 0.8 or
 more with it. Lines with equal sets form a class, of which only the first line can stay.
 
-Shingles are ordered by rarity: those of lines with some shingle in more than ``FREQUENT`` classes' prefixes
+Shingles are ordered by rarity: those of lines with some (sampled) shingle in more than ``FREQUENT`` classes' prefixes
 are counted over all such lines, and the frequent ones among them come after all others, by that number; the others
 count as equally rare and follow their hashes. Classes that share a prefix shingle are
 candidates if lengths and positions allow enough common shingles. In long lists members are first compared with the
@@ -21,6 +21,7 @@ from glyphloom.llm.common import discard, materialise, table
 
 PERCENT = 80
 FREQUENT = 24
+SAMPLED = 4  # shingles with hashes divisible by this show where frequent passages are
 BROADCAST_KEYS = 500_000
 
 
@@ -116,15 +117,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = members.groupBy("cls").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
     firsts = materialise(firsts, "firsts")
 
-    # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
+    # Where frequent passages are is seen in the shingles of one hash residue, over all lines.
     entries = members.select("cls", F.explode("prefix").alias("token"))
-    met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    met = materialise(met, "met")
-    more = entries.join(_small(met.where("c > 2").select("token")), "token").select("token", "cls").distinct()
-    shared = met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more)
-    shared = materialise(shared, "shared")
-    often = materialise(shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "often")
-    struck = materialise(shared.join(often, "token").select("cls").distinct(), "struck")
+    some = entries.where(F.pmod("token", F.lit(SAMPLED)) == 0).distinct()
+    often = some.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
+    often = materialise(often, "often")
+    struck = materialise(entries.join(_small(often.select("token")), "token").select("cls").distinct(), "struck")
     # All shingles of these lines are counted: what stands around a frequent shingle mostly is as frequent.
     full = with_shingles(_at(docs, firsts.join(_small(struck), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
     full = materialise(full.select("cls", F.size("s").alias("n"), F.explode("s").alias("token")), "full")
@@ -137,12 +135,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = Window.partitionBy("cls").orderBy(F.coalesce("c", F.lit(0)), "token")
     again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
     again = materialise(again.select("token", "cls", F.col("at").cast("long")), "again")
-    # A moved class may now meet others in shingles that no two prefixes shared before.
-    others = entries.join(_small(materialise(again.select("token").distinct(), "tokens")), "token").select("token", "cls")
-    kept = shared.unionByName(others).distinct().join(moved, "cls", "left_anti")
+    stay = members.join(_small(moved), "cls", "left_anti")
+    entries = stay.select("cls", F.explode("prefix").alias("token")).unionByName(again.select("cls", "token"))
+    # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
+    met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    met = materialise(met, "met")
+    more = entries.join(_small(met.where("c > 2").select("token")), "token").select("token", "cls").distinct()
+    shared = materialise(met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more), "shared")
+    kept = shared.join(_small(moved), "cls", "left_anti")
     wanted = materialise(kept.select("cls").distinct(), "wanted")
     prefixes = members.join(_small(wanted), "cls").select("cls", "prefix").dropDuplicates(["cls"])
     kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
+    again = again.join(shared, ["token", "cls"])
     lists = materialise(kept.unionByName(again).join(firsts.select("cls", "n", "first"), "cls"), "lists")
     discard(met, shared, full, again)
     # No pair shares more prefix shingles than one of its sets has in lists at all.
