@@ -268,8 +268,8 @@ def _common_prefix(n: Column, m: Column, percent: int) -> Column:
 def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, ...]:
     """Links found by comparing members of long lists with one hub each, in rounds with other hubs.
 
-    Returns all links, the labels of their components, the entries of lists that still span several components with
-    these, and the components of each such list. It stops when few pairs are left, or after ``ROUNDS``; what is
+    Returns all links, the labels of their components, and the entries of lists that still span several components with
+    these. It stops when few pairs are left, or after ``ROUNDS``; what is
     left is compared in full by the caller.
     """
     labels = materialise(components(links), "labels")
@@ -283,8 +283,7 @@ def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int
         left = lists.agg(F.sum("pairs"), F.sum("all")).first()
         placed = placed.join(lists.select("shingle"), "shingle", "left_semi")
         if turn == ROUNDS or not left[0] or turn and left[0] <= LONG * left[1]:
-            placed = materialise(placed, "placed")
-            return links, labels, placed, materialise(placed.select("shingle", "comp").distinct(), "parted")
+            return links, labels, materialise(placed, "placed")
         # The first hub is the set with the largest share of its prefix in lists: the middle of a group of near copies.
         middle = -F.col("e") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) if turn == 0 else F.lit(0.0)
         rank = F.struct(middle.alias("m"), F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"), F.col("e"))
@@ -340,12 +339,15 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = Window.partitionBy("node")
     long = long.withColumn("r", F.row_number().over(own.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(own))
     long = materialise(long.select("shingle", "node", "n", "e", "r", "l"), "long")
-    links, labels, placed, parted = contracted(texts, long, links, percent)
-    met = parted.select("shingle", F.col("comp").alias("p")).join(parted.select("shingle", F.col("comp").alias("q")), "shingle").where("p < q")
-    sides = {}
-    for part, end in (("p", "a"), ("q", "b")):
-        sides[end] = placed.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in "nerl"))
-    across = met.join(sides["a"], ["shingle", "p"]).join(sides["b"], ["shingle", "q"])
+    links, labels, placed = contracted(texts, long, links, percent)
+    # Of two components that meet in a list at most one is the list's largest, so the other's members are enough on one side.
+    largest_part = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"))
+    minor = placed.join(largest_part, "shingle").where("comp <> big")
+    sides = {
+        end: rows.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in "nerl"))
+        for rows, part, end in ((minor, "p", "a"), (placed, "q", "b"))
+    }
+    across = sides["a"].join(sides["b"], "shingle").where("p <> q")
     na, nb = F.col("na"), F.col("nb")
     fits = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.greatest(na, nb) > largest)
     # Of the entries that both have in long lists at least ``most`` must agree, so the first that agrees comes early in both.
