@@ -2,8 +2,10 @@
 
 Each page is parsed to a tree, and siblings of one kind are folded to a slot, so that lists of any length have
 one shape. The shapes of a host's pages are aligned to the host's commonest shape by simple tree matching. A slot
-whose text is the same on most of the aligned pages is template; slots whose text varies hold content. Pages are
-never brought together by host: shapes, alignments and text counts are small tables keyed by host.
+whose text is the same on most of the aligned pages is template; slots whose text varies hold content. Pages of a
+host that have the same text, apart from what markup leaves out, count once, so that copies of a page don't make its
+article template; and if all the text of a page is template, it is kept. Pages are never brought together by host:
+shapes, alignments and text counts are small tables keyed by host.
 
 Elements that HTML itself or their class names as menus, headers, footers, sidebars, notices, adverts, forms or
 comments are left out as well, and if a page marks its article, only that is taken.
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.llm.common import materialise, table
 
-LEAST_PAGES = 4  # pages that must agree before a slot is template
+LEAST_PAGES = 4  # different pages that must agree before a slot is template
 SHARE = 0.5  # of the aligned pages that must have the same text outside the article, and inside it:
 SHARE_INSIDE = 0.9
 BROADCAST_ROWS = 200_000  # rows of templates at most that go to every executor; more are joined
@@ -222,7 +225,10 @@ def align(one: str, two: str) -> dict[int, int]:
 
 
 def extract(page: Page, template: dict[int, int]) -> str:
-    """The main text: blocks of the slots that hold content. ``template``: slots whose text with that hash is template."""
+    """The main text: blocks of the slots that hold content. ``template``: slots whose text with that hash is template.
+
+    If the template leaves nothing, the text without it.
+    """
     texts = slot_texts(page) if template else {}
     fixed = {slot for slot, text in template.items() if texts.get(slot) == text}
     usable = [p for p in page.pieces if page.kinds[p[0]] != "x" and p[0] not in fixed]
@@ -235,7 +241,8 @@ def extract(page: Page, template: dict[int, int]) -> str:
     for _, block, text in usable:
         blocks.setdefault(block, []).append(text)
     done = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
-    return "\n\n".join(b for b in done if b)
+    text = "\n\n".join(b for b in done if b)
+    return extract(page, {}) if fixed and not text else text
 
 
 def host(url: str | None) -> str:
@@ -245,19 +252,19 @@ def host(url: str | None) -> str:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shape, slot, text hash and the number of pages, summed over a batch."""
+    """host, shape, and slots with their text hashes of each page, once per batch; slots that markup leaves out don't count."""
     for batch in batches:
-        seen: dict[tuple[str, str, int, int], int] = {}
+        seen: dict[tuple[str, str, tuple[tuple[int, int], ...]], None] = {}
         for url, source in zip(batch.column(0), batch.column(1)):
             page = parse(source.as_py() or "")
-            key = host(url.as_py()), shape(page)
-            for slot, text in slot_texts(page).items():
-                full = (*key, slot, text)
-                seen[full] = seen.get(full, 0) + 1
+            if texts := tuple(sorted((slot, text) for slot, text in slot_texts(page).items() if page.kinds[slot] != "x")):
+                seen[host(url.as_py()), shape(page), texts] = None
         if seen:
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(zip(*seen), kinds)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(seen.values()), pa.int64())], ["host", "shape", "slot", "text_hash", "k"])
+            names, shapes, texts = zip(*seen)
+            ends = np.cumsum([0, *map(len, texts)], dtype=np.int32)
+            slots, hashes = zip(*(pair for own in texts for pair in own))
+            columns = [pa.array(names, pa.string()), pa.array(shapes, pa.string()), pa.ListArray.from_arrays(ends, pa.array(slots, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(hashes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "shape", "slots", "hashes"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +284,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def induce(pages: DataFrame) -> DataFrame:
     """Template slots of every host and shape: host, shape, slot, text_hash."""
+    contents = pages.select("url", "html").mapInArrow(_outline, "host string, shape string, slots array<int>, hashes array<bigint>").distinct()
+    slots = contents.select("host", "shape", F.explode(F.arrays_zip("slots", "hashes")).alias("s"))
     seen = materialise(
-        pages.select("url", "html").mapInArrow(_outline, "host string, shape string, slot int, text_hash bigint, k bigint")
-        .groupBy("host", "shape", "slot", "text_hash").agg(F.sum("k").alias("k")), "slots"
+        slots.groupBy("host", "shape", F.col("s.slots").alias("slot"), F.col("s.hashes").alias("text_hash")).agg(F.count(F.lit(1)).alias("k")), "slots"
     )
     shapes = seen.groupBy("host", "shape", "slot").agg(F.sum("k").alias("k")).groupBy("host", "shape").agg(F.max("k").alias("k"))
     shapes = materialise(shapes, "shapes")
@@ -300,8 +308,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page (``page_id``, ``url``, ``html``; other columns are ignored).
 
     Columns: page_id, url, text (empty if there is none), n_chars. A null html counts as empty, pages without a
-    host form one group, repeated rows are kept, and an empty table gives no rows. A page whose host has too few
-    pages has no template and keeps all that markup doesn't name.
+    host form one group, repeated rows are kept but count once for the template, and an empty table gives no rows. A
+    page whose host has too few different pages has no template and keeps all that markup doesn't name, and so does a
+    page whose whole text is template.
     """
     rows = materialise(induce(pages), "templates")
     schema = "page_id bigint, url string, text string, n_chars bigint"

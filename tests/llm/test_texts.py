@@ -151,6 +151,23 @@ def test_wrapper_joins_templates_as_it_sends_them(spark, monkeypatch):
     assert wrapper.extract_pages(table.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [4, 1000])
+def test_wrapper_keeps_the_article_of_repeated_pages(spark, copies):
+    article = "<article><h1>Title</h1><p>story</p></article>"
+    rows = [(i, "http://one.example/", article) for i in range(copies)]
+    rows += [(i, None, f"<div class=ad>{i}</div><h1>Copy</h1><p>mirrored</p>") for i in range(copies, copies + 4)]
+    rows += [(i, None, f"<h1>Own {i}</h1><p>words {i}</p>") for i in range(copies + 4, copies + 8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i] for i in range(copies)} == {"Title\n\nstory"}
+    assert {got[i] for i in range(copies, copies + 4)} == {"Copy\n\nmirrored"}
+    assert all(got[i] == f"Own {i}\n\nwords {i}" for i in range(copies + 4, copies + 8))
+
+
+def test_a_page_that_is_all_template_keeps_its_text():
+    page = wrapper.parse("<h1>Title</h1><p>story</p>")
+    assert wrapper.extract(page, wrapper.slot_texts(page)) == "Title\n\nstory"
+
+
 def test_article_marks_and_named_parts():
     source = (
         "<body><header>site</header><nav>menu</nav><article><header><h1>Title &lt;1&gt;</h1></header><p>one</p><div class='ad'>buy</div><ul><li>a<li>b</ul>"
