@@ -71,13 +71,14 @@ class Page(NamedTuple):
 
 
 def _kind(tag: str, attributes: str, above: str) -> tuple[str, str]:
-    """Label and kind of an element below one of kind ``above``."""
+    """Label and kind of an element below one of kind ``above``. The label has all that decides the kind, so siblings of one label are of one kind."""
     names, role = "", ""
     if attributes and "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             role, names = (value, names) if name.lower() == "role" else (role, f"{names} {value}")
-    label = f"{tag}.{' '.join(names.split())}" if names else tag
+    role = role.split()[0] if role.strip() else ""
+    label = (f"{tag}@{role}" if role else tag) + (f".{' '.join(names.split())}" if names else "")
     if above == "x" or tag in _DROPPED or role in _ROLES:
         return label, "x"
     inside = above in "am"
@@ -275,7 +276,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = [False]
             for line in two.split("\n") if two else []:
                 parent, label = line.split(" ", 1)
-                inside.append(inside[int(parent)] or label.split(".")[0] in ("article", "main"))
+                inside.append(inside[int(parent)] or (head := label.split(".")[0]) in ("article", "main") or head.endswith("@main"))
             rows += [(name, one, a, b, inside[b]) for a, b in align(one, two).items()]
         if rows:
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]

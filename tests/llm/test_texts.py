@@ -176,6 +176,15 @@ def test_article_marks_and_named_parts():
     assert wrapper.extract(wrapper.parse(source), {}) == "Title <1>\n\none\n\na\n\nb"
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [("<body><div role='banner'>site</div><div><p>story</p></div>", "story"), ("<body><div>story</div><div role='navigation'>menu</div>", "story"),
+     ("<body><div>before</div><div role=main>story</div>", "story"), ("<div role='region note'>a</div><div role=''>b</div>", "a\n\nb")],
+)
+def test_roles_part_siblings(source, text):
+    assert wrapper.extract(wrapper.parse(source), {}) == text
+
+
 @pytest.mark.parametrize(
     "source, text",
     [("<p title=it's>a</p><p>don't</p>", "a\n\ndon't"), ('<p title="x>y">a', "a"), ('<p title="x>a<p>b', "a\n\nb"), ("<!-->a<!-- b -->c<!-- d", "ac"), ("a < b <", "a < b <"),
