@@ -8,7 +8,8 @@ article template; and if all the text of a page is template, it is kept. Pages a
 shapes, alignments and text counts are small tables keyed by host.
 
 Elements that HTML itself or their class names as menus, headers, footers, sidebars, notices, adverts, forms or
-comments are left out as well, and if a page marks its article, only that is taken.
+comments are left out as well, and if a page marks its article, only that is taken. Names don't count if the page
+says otherwise: of an element around its article, around its heading and most of its text, or if nothing else is left.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -59,6 +61,9 @@ _MARKED = set(
     "toolbar skip widget form search".split()
 )
 _OUTSIDE = {"header", "masthead", "topbar", "site-header"}
+_STATES = {"with", "without", "no", "not", "has", "have"}  # what follows in a class says what else the page has
+_LAYOUTS = {"layout", "page"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 
@@ -70,22 +75,50 @@ class Page(NamedTuple):
     kinds: list[str]
 
 
-def _kind(tag: str, attributes: str, above: str) -> tuple[str, str]:
-    """Label and kind of an element below one of kind ``above``. The label has all that decides the kind, so siblings of one label are of one kind."""
-    names, role = "", ""
+def _named(tag: str, classes: list[str], ids: list[str], inside: bool) -> bool:
+    """Whether classes or ids name a part to leave out. Ids of headings and sections are mostly slugs of their titles."""
+    for name in classes:
+        parts = re.split(r"[^a-z0-9]+", name)
+        if parts[-1] in _LAYOUTS:
+            continue
+        own = {*takewhile(lambda x: x not in _STATES, parts), name}
+        if own & _MARKED or not inside and own & _OUTSIDE:
+            return True
+    if tag in _HEADINGS:
+        return False
+    box = tag in ("div", "ul", "ol") and "section" not in classes
+    for name in ids:
+        parts = [*takewhile(lambda x: x not in _STATES, re.split(r"[^a-z0-9]+", name))]
+        if inside:
+            if box and name in _MARKED:
+                return True
+        elif box and parts and parts[-1] not in _LAYOUTS:
+            if {*parts, name} & (_MARKED | _OUTSIDE):
+                return True
+        elif parts and _MARKED.issuperset(parts):
+            return True
+    return False
+
+
+def _kind(tag: str, attributes: str, above: str, trusted: bool = True) -> tuple[str, str]:
+    """Label and kind of an element below one of kind ``above``. The label has all that decides the kind, so siblings of one label are of one kind.
+
+    Unless ``trusted``, names, roles and being a form don't leave it out.
+    """
+    role, classes, ids = "", [], []
     if attributes and "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            value = "".join(values).lower()
-            role, names = (value, names) if name.lower() == "role" else (role, f"{names} {value}")
-    role = role.split()[0] if role.strip() else ""
-    label = (f"{tag}@{role}" if role else tag) + (f".{' '.join(names.split())}" if names else "")
-    if above == "x" or tag in _DROPPED or role in _ROLES:
+            value = "".join(values).lower().split()
+            if name.lower() == "role":
+                role = value[0] if value else ""
+            else:
+                (classes if name.lower() == "class" else ids).extend(value)
+    label = (f"{tag}@{role}" if role else tag) + (f".{' '.join(classes)}" if classes else "") + (f"#{' '.join(ids)}" if ids else "")
+    if above == "x" or tag in _DROPPED and (trusted or tag != "form") or trusted and role in _ROLES:
         return label, "x"
     inside = above in "am"
-    if names and tag not in ("html", "body"):
-        tokens = set(re.split(r"[^a-z0-9]+", names)) | set(names.split())
-        if tokens & _MARKED or not inside and tokens & _OUTSIDE:
-            return label, "x"
+    if trusted and (classes or ids) and tag not in ("html", "body") and _named(tag, classes, ids, inside):
+        return label, "x"
     if tag == "header" and not inside:
         return label, "x"
     if tag == "article":
@@ -95,11 +128,63 @@ def _kind(tag: str, attributes: str, above: str) -> tuple[str, str]:
     return label, above
 
 
+def _settled(page: Page, heads: list[tuple[str, str]]) -> list[str]:
+    """The kinds of a page's slots, given all of it. ``heads``: tag and attributes of each slot.
+
+    If text is kept in an article or main, nothing changes. Otherwise names, roles and forms lose their say on the
+    elements around articles with more text than is kept, around a first-level heading in a part with most of the
+    text, or, if nothing is kept, around the longest paragraph or heading.
+    """
+    slots, kinds, n = page.slots, page.kinds, len(page.slots)
+    size = [0] * n
+    for slot, _, text in page.pieces:
+        size[slot] += len(text.strip())
+    if any(size[i] and kinds[i] in "am" for i in range(n)):
+        return kinds
+    # Of each slot: its kind without trust, whether that changed it, the outermost such slot, and its article if none is between.
+    plain, soft, top, article = [" "], [False], [0], [0]
+    for i in range(1, n):
+        parent = slots[i][0]
+        label, kind = _kind(*heads[i], plain[parent], False)
+        plain.append(kind)
+        soft.append(kind != "x" and _kind(*heads[i], plain[parent])[1] == "x")
+        top.append(top[parent] or (i if soft[i] else 0))
+        marks = (head := label.split(".")[0].split("#")[0]) in ("article", "main") or head.endswith("@main")
+        article.append(0 if soft[i] or kind == "x" else article[parent] or (i if marks else 0))
+    kept = sum(size[i] for i in range(n) if kinds[i] != "x")
+    mass, marked = [0] * n, [0] * n
+    for i in range(n):
+        if plain[i] != "x":
+            mass[top[i]] += size[i]
+            if article[i]:
+                marked[top[i]] += size[i]
+    anchors: list[int] = []
+    best = max(range(1, n), key=lambda i: marked[i], default=0)
+    if best and marked[best] > kept:
+        anchors = [i for i in range(n) if top[i] == best and article[i] and size[i]]
+    elif not any(kinds[i] in "am" for i in range(n)):
+        open_ = [i for i in range(1, n) if top[i] and plain[i] != "x" and not soft[i] and size[i]]
+        anchors = [i for i in open_ if heads[i][0] == "h1" and 2 * mass[top[i]] > sum(mass)]
+        if not anchors and not kept:
+            anchors = sorted((i for i in open_ if heads[i][0] in _HEADINGS or heads[i][0] in ("p", "pre", "blockquote")), key=lambda i: -size[i])[:1]
+    free: set[int] = set()
+    for i in anchors:
+        while i and i not in free:
+            free.add(i)
+            i = slots[i][0]
+    if not free:
+        return kinds
+    kinds = [" "]
+    for i in range(1, n):
+        kinds.append(_kind(*heads[i], kinds[slots[i][0]], i not in free)[1])
+    return kinds
+
+
 def parse(source: str) -> Page:
     """The folded tree of a page. Broken markup is taken as it comes: an end tag closes what is open inside it."""
     slots: list[tuple[int, str]] = [(-1, "")]
     index: dict[tuple[int, str], int] = {}
-    kinds = [" "]
+    kinds, heads, doubt = [" "], [("", "")], False
     pieces: list[tuple[int, int, str]] = []
     tags, path = [""], [0]
     block, at, size = 0, 0, len(source)
@@ -151,6 +236,8 @@ def parse(source: str) -> Page:
             slot = index[key] = len(slots)
             slots.append(key)
             kinds.append(kind)
+            heads.append((tag, found[3]))
+            doubt = doubt or kind == "x" and (tag in ("article", "main", "h1") or "main" in found[3].lower())
         if tag in _VOID or found[3].endswith("/") and tag not in _INLINE and tag not in _RAW:
             continue
         if tag in _RAW:
@@ -161,7 +248,10 @@ def parse(source: str) -> Page:
             continue
         tags.append(tag)
         path.append(slot)
-    return Page(slots, pieces, kinds)
+    page = Page(slots, pieces, kinds)
+    if doubt or not any(kinds[slot] != "x" and not text.isspace() for slot, _, text in pieces):
+        page = page._replace(kinds=_settled(page, heads))
+    return page
 
 
 def shape(page: Page) -> str:
@@ -276,7 +366,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = [False]
             for line in two.split("\n") if two else []:
                 parent, label = line.split(" ", 1)
-                inside.append(inside[int(parent)] or (head := label.split(".")[0]) in ("article", "main") or head.endswith("@main"))
+                inside.append(inside[int(parent)] or (head := label.split(".")[0].split("#")[0]) in ("article", "main") or head.endswith("@main"))
             rows += [(name, one, a, b, inside[b]) for a, b in align(one, two).items()]
         if rows:
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]

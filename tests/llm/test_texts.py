@@ -185,6 +185,30 @@ def test_roles_part_siblings(source, text):
     assert wrapper.extract(wrapper.parse(source), {}) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [("<div class='layout with-sidebar'><p>story</p></div><footer>f</footer>", "story"), ("<div class=no-sidebar><article>story</article></div>", "story"),
+     ("<div class='page has-comments'><article>story<div class=comments>reader</div></article></div><p>(c)</p>", "story"),
+     ("<div class=sidebar-left><article><h1>T</h1><p>story</p></article><div class=sidebar>menu</div></div><p>(c)</p>", "T\n\nstory"),
+     ("<form id=aspnet><div class=menu>m</div><main>story</main></form>", "story"), ("<div class=sidebar-left><h1>T</h1><p>story</p><div class=ad>buy</div></div><p>(c)</p>", "T\n\nstory\n\n(c)"),
+     ("<article><h2 id='related-work'>Related work</h2><p>a</p><h2 id='search'>Search</h2><section id='form'><p>b</p></section></article>", "Related work\n\na\n\nSearch\n\nb"),
+     ("<h2 id='related-work'>Related work</h2><section id=related-work>a</section><section id=cookie-notice>ok</section>", "Related work\n\na"),
+     ("<div id=content>a long story</div><div class=related><article>teaser</article></div>", "a long story"),
+     ("<div id=content>story</div><div class=comments><article class=comment>a long comment</article></div>", "story"),
+     ("<div class=form-wide><p>story</p><p class=ad>buy</p></div>", "story"), ("<article></article><div class=ad><p>buy</p></div>", ""), ("<div class=cookie-notice>ok</div>", "")],
+)
+def test_names_do_not_hide_the_article(source, text):
+    assert wrapper.extract(wrapper.parse(source), {}) == text
+
+
+def test_settling_time_is_linear():
+    import time
+
+    began = time.time()
+    wrapper.parse("".join(f"<div class='ad n{i}'>" for i in range(10_000)) + "<article><p>story")
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize(
     "source, text",
     [("<p title=it's>a</p><p>don't</p>", "a\n\ndon't"), ('<p title="x>y">a', "a"), ('<p title="x>a<p>b', "a\n\nb"), ("<!-->a<!-- b -->c<!-- d", "ac"), ("a < b <", "a < b <"),
