@@ -11,16 +11,18 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import lstm
-from glyphloom.operators.corpus import UNK, windows
+from glyphloom.operators.corpus import MAX_CHARS, SPLITS, UNK, encode, positioned, split_parts, windows
 from glyphloom.operators.ordering import running_total
 
 PARAMS = "name string, shape array<int>, values array<float>"
 FROZEN = "embedding.weight"
+HISTORY = "lang string, vocab_size int, n_params long, test_loss double, test_ppl double, epoch int, train_loss double, val_loss double, best_val_loss double"
 
 
 class Config(NamedTuple):
@@ -156,6 +158,56 @@ def language_samples(docs: DataFrame, lang: str, config: Config, max_chars: int)
     return windows(own, config.seq_len, config.batch, max_chars).select("split", "i", "x", "y"), max(size, 1)
 
 
+def train_texts(texts: dict[str, str], config: Config) -> tuple[int, lstm.Params, tuple[float, float], list[dict]]:
+    """Train on the splits' texts in this process: vocabulary size, best weights, test loss and perplexity, and a row per epoch.
+
+    The same as ``train``, with samples shuffled by a seeded permutation: one step after another needs the weights of
+    the one before, so that a Spark job for each of a whole epoch's steps would only add its start.
+    """
+    alphabet = "".join(sorted(set("".join(texts.values()))))
+    size, length = len(alphabet) + 1, config.seq_len
+    ids = {s: encode(texts.get(s, ""), alphabet) for s in SPLITS}
+    seen = {s: np.lib.stride_tricks.sliding_window_view(v, length + 1) if len(v) > length else np.zeros((0, length + 1), np.int64) for s, v in ids.items()}
+
+    def held_out(split: str, params: lstm.Params) -> tuple[float, float]:
+        own = [seen[split][at : at + config.batch] for at in range(0, len(seen[split]), config.batch)]
+        means = [lstm.cross_entropy(lstm.forward(params, rows[:, :-1])[0], rows[:, 1:])[0] for rows in own]
+        return (float(np.mean(means)), float(np.exp(np.mean(means)))) if means else (0.0, 1.0)
+
+    params = lstm.init_params(size, config.embed, config.hidden, config.layers, config.seed)
+    optimiser, best, best_loss, idle, history = lstm.Adam(config.lr), params, float("inf"), 0, []
+    for epoch in range(1, config.epochs + 1):
+        order = np.random.default_rng(config.seed + epoch).permutation(len(seen["train"]))
+        losses = []
+        for at in range(0, len(order), config.batch)[: config.steps_per_epoch]:
+            rows = seen["train"][order[at : at + config.batch]]
+            loss, grads = lstm.loss_and_gradients(params, rows[:, :-1], rows[:, 1:])
+            params = optimiser.step(params, lstm.clipped(grads))
+            losses.append(loss)
+        val_loss, _ = held_out("val", params)
+        if val_loss < best_loss:
+            best, best_loss, idle = params, val_loss, 0
+        else:
+            idle += 1
+        history.append({"epoch": epoch, "train_loss": sum(losses) / max(1, len(losses)), "val_loss": val_loss, "best_val_loss": best_loss})
+        if idle >= config.patience:
+            break
+    return size, best, held_out("test", best), history
+
+
+def lstm_histories(docs: DataFrame, config: Config, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Train on every language's corpus and return the epoch tables. A language's text, at most ``max_chars``, is in one task; languages run side by side."""
+    names = [part.split()[0] for part in HISTORY.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("start", kind="stable")
+        size, best, (test_loss, test_ppl), history = train_texts({s: "".join(rows) for s, rows in own.groupby("split")["piece"]}, config)
+        head = (group["lang"].iat[0], size, lstm.count_params(best), test_loss, test_ppl)
+        return pd.DataFrame([(*head, *(h[k] for k in names[5:])) for h in history], columns=names)
+
+    return split_parts(positioned(docs, max_chars)).select("lang", "split", "start", "piece").groupBy("lang").applyInPandas(run, HISTORY)
+
+
 def lstm_history(docs: DataFrame, lang: str, config: Config, max_chars: int) -> DataFrame:
     """Train on a language's capped corpus and return the epoch table; the cap is a parameter of the run."""
     spark = docs.sparkSession
@@ -165,7 +217,7 @@ def lstm_history(docs: DataFrame, lang: str, config: Config, max_chars: int) ->
     best, history = train(parts["train"], parts["val"], size, config)
     test_loss, test_ppl = evaluate(batched(parts["test"], config.batch), best)
     rows = [(lang, size, lstm.count_params(best), test_loss, test_ppl, *(float(h[k]) if k != "epoch" else int(h[k]) for k in ("epoch", "train_loss", "val_loss", "best_val_loss"))) for h in history]
-    return spark.createDataFrame(rows, "lang string, vocab_size int, n_params long, test_loss double, test_ppl double, epoch int, train_loss double, val_loss double, best_val_loss double")
+    return spark.createDataFrame(rows, HISTORY)
 
 
-__all__ = ["UNK", "Config", "evaluate", "load_checkpoint", "lstm_history", "params_table", "save_checkpoint", "step_gradients", "train"]
+__all__ = ["UNK", "Config", "evaluate", "load_checkpoint", "lstm_histories", "lstm_history", "params_table", "save_checkpoint", "step_gradients", "train", "train_texts"]

@@ -94,3 +94,26 @@ def test_training_learns_freezes_and_saves(spark, tmp_path):
         training.load_checkpoint(spark, path, lstm.init_params(9, 6, 8, 1))
     with pytest.raises(FileNotFoundError):
         training.load_checkpoint(spark, str(tmp_path / "none"))
+
+
+def test_whole_epochs_are_trained(monkeypatch):
+    sizes = []
+    own = lstm.loss_and_gradients
+    monkeypatch.setattr(lstm, "loss_and_gradients", lambda p, x, y: (sizes.append(x.shape), own(p, x, y))[1])
+    config = training.Config(seq_len=8, batch=32, embed=6, hidden=8, epochs=2, lr=5e-2)
+    size, best, (test_loss, test_ppl), history = training.train_texts({"train": "abcde" * 40, "val": "abcde" * 6, "test": "abcdf" * 6}, config)
+    assert size == 7 and sizes == ([(32, 8)] * 6) * 2  # 192 windows, in batches of 32
+    assert [h["epoch"] for h in history] == [1, 2] and history[1]["train_loss"] < history[0]["train_loss"]
+    assert test_ppl == pytest.approx(np.exp(test_loss)) and test_loss > history[1]["val_loss"] > 0
+    assert training.train_texts({"train": "ab"}, config)[2] == (0.0, 1.0)
+
+
+def test_the_query_trains_on_every_language_and_all_of_its_text(spark, tmp_path):
+    from glyphloom.plans import catalog
+
+    texts = [(1, "ab" * 1600, "en"), (2, "cd" * 90 + "é", "en"), (3, "xyz" * 100, "es"), (4, "", "es"), (5, "kurz", "de")]
+    spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalog.queries()["lstm_train"](spark, str(tmp_path)).collect()
+    assert {r["lang"]: r["vocab_size"] for r in rows} == {"en": 6, "es": 4, "de": 5}
+    assert all(r["n_params"] == lstm.count_params(lstm.init_params(r["vocab_size"], 8, 16, 1)) for r in rows)
+    assert all(r["train_loss"] > 0 for r in rows if r["lang"] != "de")
