@@ -95,7 +95,7 @@ SCHEMA = (
     "input_ids array<int>, cu_seqlens array<int>, position_ids array<int>"
 )
 
-
+CHECKSUMS = ", input_ids_crc32 bigint, cu_seqlens_crc32 bigint, position_ids_crc32 bigint"
 DIGESTS = (
     "sequence_id bigint, n_tokens int, n_segments int, doc_ids array<bigint>, pieces array<int>, "
     "input_ids_crc32 bigint, cu_seqlens_crc32 bigint, position_ids_crc32 bigint"
@@ -116,11 +116,11 @@ def _grouped(docs: DataFrame, capacity: int, vocabulary: str | None) -> DataFram
     return joined.groupBy("sequence_id").agg(parts.alias("parts"))
 
 
-def _built(rows: DataFrame, capacity: int, digest: bool) -> DataFrame:
-    schema = DIGESTS if digest else SCHEMA
+def _built(rows: DataFrame, capacity: int, schema: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
-    last = pa.int64() if digest else pa.list_(pa.int32())
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[last] * 3]
+    matrices, digests = "input_ids" in names, "input_ids_crc32" in names
+    last = [pa.list_(pa.int32())] * 3 * matrices + [pa.int64()] * 3 * digests
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), *last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,8 @@ def _built(rows: DataFrame, capacity: int, digest: bool) -> DataFrame:
                     ids[:total] = np.concatenate([np.frombuffer(x["ids"], dtype="<u2") for x in own])
                     starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                     positions[:total] = np.arange(total, dtype=np.int32) - np.repeat(starts[:-1], lengths)
-                    made = [zlib.crc32(x.astype("<u4").tobytes()) if digest else x for x in (ids, starts, positions)]
+                    made = [ids, starts, positions] if matrices else []
+                    made += [zlib.crc32(x.astype("<u4").tobytes()) for x in (ids, starts, positions)] if digests else []
                     out.append((sequence, total, len(own), [x["doc_id"] for x in own], [x["piece"] for x in own], *made))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds, strict=True)], names)
@@ -149,18 +150,23 @@ def packed_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
     with the number of tokens. A null text counts as empty and is one end id. Null or repeated ids and repeated rows
     are packed each; an empty table gives no rows.
     """
-    return _built(_grouped(docs, capacity, vocabulary), capacity, digest=False)
+    return _built(_grouped(docs, capacity, vocabulary), capacity, SCHEMA)
 
 
 def packed_digests(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """The same rows with each id matrix row, its boundaries and its positions as CRC-32 of little-endian unsigned 32-bit values."""
-    return _built(_grouped(docs, capacity, vocabulary), capacity, digest=True)
+    return _built(_grouped(docs, capacity, vocabulary), capacity, DIGESTS)
+
+
+def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+    """The same rows with the id matrix, boundaries and positions, and the CRC-32 of each."""
+    return _built(_grouped(docs, capacity, vocabulary), capacity, SCHEMA + CHECKSUMS)
 
 
 def write_matrices(docs: DataFrame, path: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> None:
-    """Write packed rows as Parquet, one fixed-width row of ids per sequence."""
-    packed_rows(docs, capacity, vocabulary).write.parquet(path)
+    """Write packed rows and their digests as Parquet, one fixed-width row of ids per sequence."""
+    packed_matrices(docs, capacity, vocabulary).write.parquet(path)
 
 
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_digests(table(spark, sf_dir, "documents"))
+    return packed_matrices(table(spark, sf_dir, "documents"))

@@ -121,3 +121,14 @@ def test_packed_matrices(spark, docs, none, tokenizer):
     digest = {r["sequence_id"]: r["input_ids_crc32"] for r in packed.packed_digests(docs, 128).collect()}
     assert len(digest) == len(rows)
     assert packed.packed_rows(none).count() == 0
+
+
+def test_the_query_returns_id_matrices(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    packed.write_matrices(docs, str(tmp_path / "out"))
+    for rows in (packed.op9_packed_ids(spark, str(tmp_path)).collect(), spark.read.parquet(str(tmp_path / "out")).collect()):
+        assert sum(r["n_segments"] for r in rows) >= docs.count()
+        for r in rows:
+            assert len(r["input_ids"]) == len(r["position_ids"]) == packed.CAPACITY and r["cu_seqlens"][-1] == r["n_tokens"]
+            for name in ("input_ids", "cu_seqlens", "position_ids"):
+                assert r[f"{name}_crc32"] == zlib.crc32(np.array(r[name], "<u4").tobytes())
