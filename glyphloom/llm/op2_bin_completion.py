@@ -3,11 +3,15 @@
 Bins are filled one pattern at a time around the largest size left. The fillings of the remaining space are
 enumerated up to dominance, the ones with least waste first; a branch is cut as soon as its waste exceeds what
 a packing with one bin fewer than the best known one may waste. The best known packing starts as best-fit
-decreasing, and each node given up is completed by best fit, which may replace it.
+decreasing, and each node given up is completed by best fit, which may replace it. The first search tries the best
+few fillings of each node only, each as often as it can be; if it ends, a second one covers every packing with the
+nodes left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +48,7 @@ def _dominated(small: tuple[int, ...], by: tuple[int, ...]) -> bool:
 
 
 def fillings(counts: np.ndarray, space: int) -> list[tuple[int, ...]]:
-    """Fillings of ``space`` from the sizes left, none dominated by another listed one, least waste first."""
+    """Up to 12 fillings of ``space`` from the sizes left, none dominated by another listed one, least waste first."""
     active = np.flatnonzero(counts[: space + 1])
     if not len(active):
         return [()]
@@ -125,50 +129,107 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Pla
     """As few bins as ``nodes`` search nodes find; never more than best-fit decreasing takes.
 
     ``counts[s]`` is the number of items of size ``s``; sizes are 1 to ``capacity``. The result is optimal when
-    it meets the bound of total size over capacity, or when the search ends within ``nodes``.
+    it meets the bound of total size over capacity, or when both searches end within ``nodes`` in total.
     """
     counts = counts.astype(np.int64).copy()
     total = int((counts * np.arange(len(counts))).sum())
     lower = -(-total // capacity)
     best = best_fit(counts, capacity)
-    fewest = bins(best)
-    if fewest == lower:
+    if bins(best) == lower:
         return best
-    # A level: its pattern and how often, the waste before it, the fillings not yet tried.
+    best, seen, _ = _search(counts, capacity, best, lower, nodes, whole=False)
+    if bins(best) > lower and seen < nodes:
+        best, *_ = _search(counts, capacity, best, lower, nodes - seen, whole=True)
+    return best
+
+
+def _every(counts: np.ndarray, space: int, known: list[tuple[int, ...]]) -> Iterator[tuple[int, ...] | None]:
+    """The listed fillings, then all others that nothing more fits into; None for each dead end on the way."""
+    yield from known
+    if known and len(known[0]) == 1 and known[0][0] == space:
+        return
+    listed = set(known)
+    sizes = np.flatnonzero(counts[: space + 1])[::-1].tolist()
+    # Depth first without recursion: (next size, space left, smallest passed-over size that still has an item, taken).
+    todo = [(0, space, space + 1, ())]
+    while todo:
+        k, left, passed, taken = todo.pop()
+        while k < len(sizes) and sizes[k] > left:
+            k += 1
+        if k == len(sizes):
+            yield taken if left < passed and taken not in listed else None
+            continue
+        most = min(left // sizes[k], int(counts[sizes[k]]))
+        for n in range(most + 1):
+            todo.append((k + 1, left - n * sizes[k], passed if n == counts[sizes[k]] else min(passed, sizes[k]), taken + (sizes[k],) * n))
+
+
+def _search(counts: np.ndarray, capacity: int, best: Plan, lower: int, nodes: int, whole: bool) -> tuple[Plan, int, bool]:
+    """Depth-first search: the best plan, the nodes used, and whether the search ended.
+
+    Unless ``whole``, a node's branches are its listed fillings, each as often as it can be; otherwise all fillings,
+    each as often as it can be, half as often and so on down to once, which covers every packing.
+    """
+    counts = counts.copy()
+    total, fewest = int((counts * np.arange(len(counts))).sum()), bins(best)
+    # A level: its pattern and how often, the waste before it, the fillings not yet tried, the pattern to be repeated less, how often, and the size it is around.
     levels: list[list] = []
     waste, seen, going_down = 0, 0, True
-    while seen < nodes:
+
+    def completed() -> None:
+        """Complete what is placed by best fit, unless it can't take fewer bins."""
+        nonlocal best, fewest
+        if waste > (fewest - 1) * capacity - total:
+            return
+        held = [(x[0], x[1]) for x in levels if x[0] is not None] + best_fit(counts, capacity)
+        if bins(held) < fewest:
+            best, fewest = held, bins(held)
+
+    def undo(level: list) -> None:
+        nonlocal waste
+        if level[0] is not None:
+            for size in level[0]:
+                counts[size] += level[1]
+            waste, level[0] = level[2], None
+
+    while seen < nodes and fewest > lower:
         allowed = (fewest - 1) * capacity - total
         if going_down:
             seen += 1
             big = int(np.max(np.flatnonzero(counts), initial=0))
             if not big:
-                best = [(p, t) for p, t, *_ in levels]
+                best = [(x[0], x[1]) for x in levels]
                 fewest = bins(best)
-                if fewest == lower:
-                    break
                 going_down = False
                 continue
             counts[big] -= 1
-            options = fillings(counts, capacity - big)
+            own = counts.copy()
             counts[big] += 1
-            levels.append([None, 0, waste, [(big, *x) for x in options]])
+            known = fillings(own, capacity - big)
+            levels.append([None, 0, waste, _every(own, capacity - big, known) if whole else iter(known), None, 0, big])
         level = levels[-1]
-        if level[0] is not None:
-            for size in level[0]:
-                counts[size] += level[1]
-            waste, level[0] = level[2], None
-        if not level[3]:
-            levels.pop()
-            if not levels:
-                break
-            going_down = False
-            continue
-        pattern = level[3].pop(0)
+        undo(level)
+        if level[5]:
+            pattern, times = level[4], level[5]
+        else:
+            filling = next(level[3], "end")
+            if filling is None:  # a dead end costs time as a node does
+                seen += 1
+                going_down = False
+                continue
+            if filling == "end":
+                completed()
+                levels.pop()
+                if not levels:
+                    return best, seen, True
+                going_down = False
+                continue
+            pattern = (level[6], *filling)
+            times = min(int(counts[s]) // pattern.count(s) for s in set(pattern))
         lost = capacity - sum(pattern)
-        times = min(int(counts[s]) // pattern.count(s) for s in set(pattern))
         if lost:
             times = min(times, (allowed - waste) // lost)
+        level[4], level[5] = pattern, max(times, 0) // 2 if whole else 0
         if times <= 0:
             going_down = False
             continue
@@ -177,11 +238,11 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> Pla
         level[0], level[1] = pattern, times
         waste += lost * times
         going_down = True
-    if seen >= nodes:
-        held = [(p, t) for p, t, *_ in levels if p is not None] + best_fit(counts, capacity)
-        if bins(held) < fewest:
-            best = held
-    return best
+    while levels and fewest > lower:
+        completed()
+        undo(levels[-1])
+        levels.pop()
+    return best, seen, False
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

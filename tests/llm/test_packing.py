@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -70,6 +71,27 @@ def test_completion_beats_best_fit_somewhere():
     assert completion.bins(completion.bin_completion(counts, 10)) <= completion.bins(completion.best_fit(counts, 10))
 
 
+@pytest.mark.parametrize(
+    "capacity, items",
+    [(100, [13] * 4 + [17] * 4 + [20] * 4), (60, [8, 8, 9, 9, 9, 9, 12, 12, 12, 12, 18]), (30, [4] * 4 + [5] * 6 + [7] * 2), (30, [7, 7, 8, 8, 8, 8, 9, 9, 9, 14])],
+)
+def test_search_that_ends_is_optimal(capacity, items):
+    counts = np.bincount(items, minlength=capacity + 1)
+    assert completion.bins(completion.bin_completion(counts, capacity)) == fewest_bins(items, capacity)
+
+
+def test_all_fillings_are_listed():
+    counts = np.bincount([9, 7, 7, 5, 4, 3, 3, 3, 2], minlength=31)
+    found = [x for x in completion._every(counts, 20, []) if x is not None]
+    wanted = set()
+    for n in range(1, 10):
+        for x in combinations([9, 7, 7, 5, 4, 3, 3, 3, 2], n):
+            left = counts - np.bincount(x, minlength=31)
+            if sum(x) <= 20 and not left[: 20 - sum(x) + 1].any():
+                wanted.add(x)
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
 @pytest.mark.parametrize("plan", [packed.best_fit_decreasing, completion.best_fit])
 def test_best_fit_decreasing_equals_a_scan(plan):
     rng = random.Random(1)
