@@ -27,7 +27,8 @@ BLOCK = 2_048  # queries searched together
 LINKS = 12  # neighbours kept on upper layers, twice as many at the bottom
 BUILD_BEAM = 48
 BEAM = 32
-AUDITED = 64  # queries in each block of a shard that are checked against all of its vectors
+AUDITED = 64  # queries of a block or shard that are checked at a time against all vectors of a shard
+AUDITED_LINKS = 64  # links to other ids that an audit checks, unless the queries have fewer
 RECALL = 0.995
 
 
@@ -198,17 +199,25 @@ def audited_pairs(
 ) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (query, vector) with a cosine of at least ``least``, and the beam that the audit found wide enough.
 
-    Some queries, chosen by a hash of their id, are compared with every vector; the beam is doubled until the graph
-    finds nearly all of their links. Every pair is decided in double precision; an id doesn't link to itself.
+    Queries in the order of a hash of their id, ``AUDITED`` at a time and ``BLOCK`` at most, are compared with every
+    vector until ``AUDITED_LINKS`` links to other ids are known; the beam is doubled until the graph finds nearly all
+    of these. Misses of queries that aren't compared are not repaired. Every pair is decided in double precision; an id doesn't link to itself.
     """
     mixed = query_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    chosen = np.argsort(mixed >> np.uint64(20), kind="stable")[:AUDITED]
-    truth = (queries[chosen] @ units.T) >= least
+    order = np.argsort(mixed >> np.uint64(20), kind="stable")[:BLOCK]
+    truth, known = [], 0
+    while beam < len(units) and known < AUDITED_LINKS and len(truth) * AUDITED < len(order):
+        own = order[len(truth) * AUDITED : (len(truth) + 1) * AUDITED]
+        i, j = np.nonzero((queries[own] @ units.T) >= least)
+        other = query_ids[own[i]] != ids[j]
+        truth.append(own[i[other]] * len(units) + j[other])
+        known += int(other.sum())
+    wanted = np.concatenate([np.zeros(0, np.int64), *truth])
+    chosen = np.unique(wanted // len(units))  # queries without a link can't miss one
     narrow, loose = queries.astype(np.float32), least - 1e-4
-    while beam < len(units) and truth.any():
-        hit = np.zeros(truth.shape, dtype=bool)
-        hit[graph.linked(narrow[chosen], loose, beam)] = True
-        if (hit & truth).sum() >= RECALL * truth.sum():
+    while beam < len(units) and known:
+        i, j = graph.linked(narrow[chosen], loose, beam)
+        if np.isin(wanted, chosen[i] * len(units) + j).sum() >= RECALL * known:
             break
         beam *= 2
     q, v = graph.linked(narrow, loose, beam)

@@ -48,3 +48,25 @@ def test_table_equals_brute_force(spark):
         assert (r["n_links"], r["component_id"]) == expected[r["vec_id"]]
         assert r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"])
     assert hnsw.linked(table.where("vec_id < 0")).count() == 0
+
+
+def test_audit_draws_queries_until_it_has_links_to_others(monkeypatch):
+    rng = np.random.default_rng(4)
+    units = rng.normal(size=(400, 16))
+    ids = np.arange(400)
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a, b = np.argsort(mixed >> np.uint64(20), kind="stable")[[200, 300]]
+    units[b] = units[a] + 0.1
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    graph, own = hnsw.Graph(units), hnsw.Graph.linked
+
+    def narrow(self, queries, least, beam):
+        q, v = own(self, queries, least, beam)
+        if beam >= 64:
+            return q, v
+        same = np.einsum("ij,ij->i", queries[q], units[v]) > 1 - 1e-6
+        return q[same], v[same]
+
+    monkeypatch.setattr(hnsw.Graph, "linked", narrow)
+    q, v, beam = hnsw.audited_pairs(graph, units, ids, units, ids, 0.9, 8)
+    assert beam == 64 and {(a, b), (b, a)} <= set(zip(q.tolist(), v.tolist()))
