@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from types import TracebackType
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 20_000
-TIDY_EVERY = 8  # materialised tables between two collections
+#: Batches between Spark and Python: rows hold whole texts, and batches live outside the heap.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+#: Shuffle files of a scratch table's job go as soon as the table is written, not when the driver collects its garbage.
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _own_dirs: dict[str, str] = {}
-_paths: dict[int, tuple[DataFrame, str]] = {}
+_kept: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Keep batches between Spark and Python small: rows hold whole texts, and batches live outside the heap."""
-    for name, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 4 << 20)):
+    """Bound the session's batches between Spark and Python, unless they are smaller already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        with contextlib.suppress(Exception):  # a Spark without the setting
-            held = spark.conf.get(key)
-            if not held.isdigit() or int(held) > most:
-                spark.conf.set(key, str(most))
+        held = spark.conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
+    """Settings that hold within the block only."""
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,40 +70,72 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    This cuts lineage, so that a lost executor costs no recomputation, and fixes one evaluation of plans
-    that are used several times.
-    """
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = (out, path)
-    if len(_paths) % TIDY_EVERY == 0:
-        tidy(spark)
+    with settings(spark, _CLEAN):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """A scratch table that an operator's result reads: written as Parquet and read back, until ``forget`` deletes it."""
+    out, path = _written(df, label)
+    _kept[path] = df.sparkSession
     return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Collect garbage on the driver: shuffle files of finished jobs go, and memory that plans and models took."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more, and let Spark drop shuffle files of finished jobs."""
-    for df in tables:
-        held, path = _paths.pop(id(df), (None, None))
-        if held is df:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
-        tidy(tables[0].sparkSession)
+class Scratch:
+    """Tables that an operator writes to the shared folder on its way.
+
+    A table cuts lineage, so that a lost executor costs no recomputation, and fixes one evaluation of a plan that is used
+    several times. When the block ends, all tables go but those that the result still reads (``keep``).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.drop(*(df for df, _ in list(self.paths.values())))
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back."""
+        out, path = _written(df, label)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more; others are left alone."""
+        for df in tables:
+            held, path = self.paths.pop(id(df), (None, ""))
+            if held is not None:
+                _delete(self.spark, path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave a table to the caller, whose result reads it; ``forget`` deletes it."""
+        _, path = self.paths.pop(id(df))
+        _kept[path] = self.spark
+        return df
+
+
+def kept() -> set[str]:
+    """Scratch tables that results still read."""
+    return set(_kept)
+
+
+def forget(paths: set[str]) -> None:
+    """Delete kept tables whose results have been written elsewhere."""
+    for path in paths & set(_kept):
+        _delete(_kept.pop(path), path)
 
 
 def bucket_count(rows: int) -> int:

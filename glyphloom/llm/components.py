@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import materialise
+from glyphloom.llm.common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, own: Scratch) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) for each node of ``links`` (``a``, ``b``: bigint).
 
-    Each round keeps a forest that links nodes to smaller ones; it ends when every node hangs on its root.
+    Each round keeps a forest that links nodes to smaller ones; it ends when every node hangs on its root. Only the
+    last round's forest stays; the result is one of the caller's tables.
     """
-    edges = materialise(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    edges = own.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,14 +27,18 @@ def components(links: DataFrame) -> DataFrame:
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             roots.select(F.col("w").alias("u"), F.col("m").alias("v"))
         )
-        edges = materialise(small.distinct(), "edges")
+        before, edges = edges, own.table(small.distinct(), "edges")
+        own.drop(before)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(state) == last:
             break
         last = tuple(state)
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return (
+    labels = (
         edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         .unionByName(roots.select("node", F.col("node").alias("component")))
         .groupBy("node").agg(F.min("component").alias("component"))
     )
+    labels = own.table(labels, "labels")
+    own.drop(edges)
+    return labels

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import discard, materialise, table
+from glyphloom.llm.common import Scratch, table
 
 PERCENT = 80
 FREQUENT = 24
@@ -25,29 +25,35 @@ SAMPLED = 4  # shingles with hashes divisible by this show where frequent passag
 BROADCAST_KEYS = 500_000
 
 
-def line_words(line: str) -> Column:
-    """Lower-cased words between blanks, tabs and other ASCII white space."""
-    text = F.lower(F.col(line))
+def plain(text: str) -> Column:
+    """A text in lower case, with blanks for tabs and other ASCII white space but line feeds."""
+    out = F.lower(F.col(text))
     for blank in ("\t", "\r", "\x0b", "\x0c"):
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return out
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``s``, the sorted distinct shingle hashes of ``line``; empty for a line without words."""
-    worded = lines.withColumn("h", F.transform(line_words("line"), lambda w: F.xxhash64(w)))
+    """Adds ``s``, the sorted distinct shingle hashes of ``line`` (of a plain text); empty for a line without words."""
+    words = F.array_remove(F.split("line", " "), "")
+    worded = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
     five = "transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))"
     shingles = F.when(F.size("h") >= 5, F.expr(five)).when(F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.expr("array()").cast("array<bigint>"))
     return worded.withColumn("s", F.sort_array(F.array_distinct(shingles))).drop("h")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Lines of all texts: doc_id, text_hash, line_no (from 0), line."""
+    """Lines of all texts: doc_id, text_hash, line_no (from 0), line (of the plain text)."""
     return docs.where("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(plain("text"), "\n")).alias("line_no", "line")
     )
 
 
+def class_hash() -> Column:
+    """What a line's class is known by, next to a second hash of its shingles."""
+    return F.xxhash64("s")
+
+
 def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
@@ -78,121 +84,152 @@ def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """cls and line of the lines at ``places`` (doc_id, text_hash, line_no, cls); only their documents are split."""
-    by_text = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line_no", "cls")).alias("_at"))
-    by_text = materialise(by_text, "places")
-    hashed = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    split = hashed.join(_small(by_text), same).select(F.split("text", "\n").alias("lines"), F.explode("_at").alias("p"))
-    return split.select("p.cls", F.expr("lines[p.line_no]").alias("line"))
+def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, own: Scratch) -> DataFrame:
+    """cls and s of the ``classes`` (cls), read at their first lines; only the documents of these are split."""
+    places = own.table(firsts.join(_small(classes), "cls").select("cls", "first.*"), "places")
+    at = _small(places.select("cls", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l")))
+    texts = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.join(_small(places.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text")
+    same = (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    return with_shingles(numbered_lines(texts).join(at, same).select("cls", "line")).select("cls", "s")
 
 
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int, own: Scratch) -> DataFrame:
     """The classes ``x`` of pairs whose sets are similar, compared in full."""
-    wanted = materialise(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "wanted")
-    full = with_shingles(_at(docs, firsts.join(_small(wanted), "cls").select("cls", "first.*"))).select("cls", "s")
-    sets = materialise(full.dropDuplicates(["cls"]), "sets")
+    wanted = own.table(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "wanted")
+    sets = own.table(_sets(docs, firsts, wanted, own), "sets")
     both = pairs.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
     both = both.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
-    return both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent).select(F.col("x").alias("cls")).distinct()
-
+    gone = both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent).select(F.col("x").alias("cls")).distinct()
+    gone = own.table(gone, "gone")
+    own.drop(wanted, sets)
+    return gone
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash and line_no of every line that an earlier line makes redundant.
 
-    Lines without words and null texts have none. Rows with equal id and text count as one document; among other
-    rows of one id, or of null ids, which come first, the text's hash decides which is earlier.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _members(docs: DataFrame, percent: int, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All lines with words (doc_id, text_hash, line_no, cls, n, prefix), and each class's first place, size and number of lines."""
     n = F.size("s")
     # No filter on the shingles here: pushed down, it would compute the words again for each shingle.
-    members = materialise(
-        with_shingles(numbered_lines(docs)).select(
-            "doc_id", "text_hash", "line_no", F.xxhash64("s").alias("cls"), n.alias("n"), F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix")
-        ), "lines"
-    ).where("n > 0")
-    place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = members.groupBy("cls").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    firsts = materialise(firsts, "firsts")
+    lines = with_shingles(numbered_lines(docs)).select(
+        "doc_id", "text_hash", "line_no", class_hash().alias("cls"), F.hash("s").alias("second"), n.alias("n"),
+        F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix"),
+    )
+    members = own.table(lines, "lines").where("n > 0")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
+        firsts = rows.groupBy("cls").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+        return own.table(firsts, "firsts")
+
+    firsts = grouped(members)
+    clash = firsts.where("lo <> hi").select("cls", F.lit(True).alias("clash"))
+    if not clash.isEmpty():  # different sets with the same hash are told apart by the second one
+        cls = F.when(F.col("clash"), F.xxhash64("cls", "second")).otherwise(F.col("cls"))
+        members = own.table(members.join(_small(clash), "cls", "left").withColumn("cls", cls).drop("clash"), "lines")
+        firsts = grouped(members)
+    return members, firsts.drop("lo", "hi")
 
+
+def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int, own: Scratch) -> DataFrame:
+    """Entries of the prefix lists of at least two classes: token, cls, n, at (place in the prefix), first, e (entries of the class)."""
     # Where frequent passages are is seen in the shingles of one hash residue, over all lines.
     entries = members.select("cls", F.explode("prefix").alias("token"))
-    some = entries.where(F.pmod("token", F.lit(SAMPLED)) == 0).distinct()
-    often = some.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT)
-    often = materialise(often, "often")
-    struck = materialise(entries.join(_small(often.select("token")), "token").select("cls").distinct(), "struck")
+    some = entries.where(F.pmod("token", F.lit(SAMPLED)) == 0).groupBy("token")
+    often = some.agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where((F.col("c") > FREQUENT) & (F.col("lo") != F.col("hi")))
+    often = own.table(often.select("token"), "often")
+    struck = own.table(entries.join(_small(often), "token").select("cls").distinct(), "struck")
     # All shingles of these lines are counted: what stands around a frequent shingle mostly is as frequent.
-    full = with_shingles(_at(docs, firsts.join(_small(struck), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
-    full = materialise(full.select("cls", F.size("s").alias("n"), F.explode("s").alias("token")), "full")
-    late = materialise(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "late")
-    moved = materialise(entries.join(_small(late), "token").select("cls").distinct(), "moved")
-    rest = moved.join(struck, "cls", "left_anti")
-    newly = with_shingles(_at(docs, firsts.join(_small(materialise(rest, "rest")), "cls").select("cls", "first.*"))).dropDuplicates(["cls"])
-    newly = newly.select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))
-    again = full.join(moved, "cls", "left_semi").unionByName(newly).join(_small(late), "token", "left")
+    full = own.table(_sets(docs, firsts, struck, own).select("cls", F.size("s").alias("n"), F.explode("s").alias("token")), "full")
+    late = own.table(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "late")
+    moved = own.table(entries.join(_small(late), "token").select("cls").distinct(), "moved")
+    rest = own.table(moved.join(struck, "cls", "left_anti"), "rest")
+    newly = _sets(docs, firsts, rest, own).select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))
+    again = only(full, moved).unionByName(newly).join(_small(late), "token", "left")
     order = Window.partitionBy("cls").orderBy(F.coalesce("c", F.lit(0)), "token")
     again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
-    again = materialise(again.select("token", "cls", F.col("at").cast("long")), "again")
-    stay = members.join(_small(moved), "cls", "left_anti")
+    again = own.table(again.select("token", "cls", F.col("at").cast("long")), "again")
+    own.drop(full)
+    stay = only(members, moved, "left_anti")
     entries = stay.select("cls", F.explode("prefix").alias("token")).unionByName(again.select("cls", "token"))
     # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
     met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    met = materialise(met, "met")
+    met = own.table(met, "met")
     more = entries.join(_small(met.where("c > 2").select("token")), "token").select("token", "cls").distinct()
-    shared = materialise(met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more), "shared")
-    kept = shared.join(_small(moved), "cls", "left_anti")
-    wanted = materialise(kept.select("cls").distinct(), "wanted")
-    prefixes = members.join(_small(wanted), "cls").select("cls", "prefix").dropDuplicates(["cls"])
+    shared = own.table(met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more), "shared")
+    own.drop(met)
+    kept = only(shared, moved, "left_anti")
+    wanted = own.table(kept.select("cls").distinct(), "wanted")
+    prefixes = only(members, wanted).select("cls", "prefix").dropDuplicates(["cls"])
     kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
     again = again.join(shared, ["token", "cls"])
-    lists = materialise(kept.unionByName(again).join(firsts.select("cls", "n", "first"), "cls"), "lists")
-    discard(met, shared, full, again)
     # No pair shares more prefix shingles than one of its sets has in lists at all.
-    degrees = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("e"))
-    lists = materialise(lists.join(degrees, "cls"), "lists")
-
-    long = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "token")
-    long = materialise(long, "long")
-    near = None
-    for lead in (F.struct("first"), F.struct(-F.col("e") / _prefix(F.col("n"), percent), "first")):
-        heads = long.groupBy("token").agg(F.min(F.struct(lead.alias("lead"), "cls", "n", "at", "first", "e")).alias("head")).select("token", "head.*")
-        best = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-        near = best if near is None else near.unionByName(best).distinct()
-    gone = materialise(_verified(docs, firsts, materialise(near, "near"), percent), "gone")
-    pairs = materialise(_pairs(lists.join(gone, "cls", "left_anti"), lists, percent).select("x", "y"), "pairs")
-    discard(lists, long)
-    gone = materialise(gone.unionByName(_verified(docs, firsts, pairs, percent)).distinct(), "gone").withColumn("gone", F.lit(True))
-
-    lost = firsts.join(gone, "cls", "left").where("gone or k > 1").select("cls", "first", "gone")
-    state = members.select("doc_id", "text_hash", "line_no", "cls").join(_small(materialise(lost, "lost")), "cls")
-    return state.where(F.col("gone") | (F.col("first") != place)).select("doc_id", "text_hash", "line_no").distinct()
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    degrees = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("e"))
+    sized = firsts.select("cls", "n", "first").join(degrees, "cls")
+    lists = own.table(kept.unionByName(again).join(sized, "cls"), "lists")
+    own.drop(shared, again)
+    return lists
+
+
+def only(rows: DataFrame, classes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose class is (not) in ``classes``."""
+    return rows.join(_small(classes), "cls", how)
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash and line_no of every line that an earlier line makes redundant.
+
+    Lines without words and null texts have none. Rows with equal id and text count as one document; among other
+    rows of one id, or of null ids, which come first, the text's hash decides which is earlier.
+    """
+    with Scratch(docs.sparkSession) as own:
+        docs = docs.select(F.col("doc_id").cast("long"), "text")
+        repeated = docs.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        if not repeated.isEmpty():
+            docs = own.table(docs.distinct(), "documents")
+        members, firsts = _members(docs, percent, own)
+        lists = _lists(docs, members, firsts, percent, own)
+
+        long = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "token")
+        long = own.table(long, "long")
+        near = None
+        for lead in (F.struct("first"), F.struct(-F.col("e") / _prefix(F.col("n"), percent), "first")):
+            heads = long.groupBy("token").agg(F.min(F.struct(lead.alias("lead"), "cls", "n", "at", "first", "e")).alias("head")).select("token", "head.*")
+            best = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
+            near = best if near is None else near.unionByName(best).distinct()
+        gone = _verified(docs, firsts, own.table(near, "near"), percent, own)
+        pairs = own.table(_pairs(only(lists, gone, "left_anti"), lists, percent).select("x", "y"), "pairs")
+        own.drop(lists, long)
+        gone = gone.unionByName(_verified(docs, firsts, pairs, percent, own)).distinct().withColumn("gone", F.lit(True))
+
+        lost = firsts.join(gone, "cls", "left").where("gone or k > 1").select("cls", "first", "gone")
+        state = members.select("doc_id", "text_hash", "line_no", "cls").join(_small(own.table(lost, "lost")), "cls")
+        redundant = state.where(F.col("gone") | (F.col("first") != F.struct("doc_id", "text_hash", "line_no")))
+        return own.keep(own.table(redundant.select("doc_id", "text_hash", "line_no"), "removed"))
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = True) -> DataFrame:
     """All documents without their removed lines; other columns stay, and ``n_lines`` and ``n_removed`` are added.
 
     A null text stays null and has no lines; an empty text is one line without words, which stays, as all such
-    lines do. An empty table gives no rows. Columns of ``docs`` named n_lines or n_removed are replaced.
+    lines do. An empty table gives no rows. Columns of ``docs`` named n_lines or n_removed are replaced; without
+    ``counts`` all columns stay as they are and none is added. Column names are compared as Spark does, without case.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    removed = materialise(removed_lines(docs, percent), "removed")
-    dropped = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    dropped = _small(materialise(dropped, "dropped"))
-    joined = own.join(dropped, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    added = ["n_lines", "n_removed"] if counts else []
+    names = [c for c in docs.columns if c.lower() not in added]
+    removed = removed_lines(docs, percent)
+    gone = removed.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.struct("doc_id", "text_hash").alias("at"), "gone")
+    # Documents are one column of their own, so that no name of theirs can clash.
+    own = docs.select(F.struct(*names).alias("own"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = own.join(_small(gone), F.col("id").eqNullSafe(F.col("at.doc_id")) & (F.col("hash") == F.col("at.text_hash")), "left")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     )
-    return joined.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "text": text,
-        }
-    ).select(*names, "n_lines", "n_removed")
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    columns = [text.alias(c) if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in names]
+    if counts:
+        columns += [F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*columns)
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:

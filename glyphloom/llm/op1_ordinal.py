@@ -7,7 +7,7 @@ document is kept if P(grade >= 1) is at least one half; the expected grade and P
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphloom.llm import words
-from glyphloom.llm.common import materialise, table
+from glyphloom.llm.common import table
 
 SAMPLE = 4_096  # labelled documents that the model is fitted on, at most
 BUCKETS = 1 << 18
@@ -123,9 +123,11 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on up to ``sample`` labelled documents, chosen by a hash of their id."""
+    """A model fitted on up to ``sample`` labelled documents, chosen by a hash of their id; of rows with one id the smallest text counts."""
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    # One row for each chosen id, however often it comes, so that no more than ``sample`` rows go to the driver.
+    rows = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("grade").alias("grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,25 +155,50 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(row, buckets, amounts, grade)
 
 
+SCORES = "expected_grade double, p_good double, p_clean double, kept boolean"
+
+
 def score(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
     """Every document with its expected grade, P(grade >= 1), P(grade >= 2) and whether it is kept.
 
     ``extra`` names the columns of ``docs`` to return instead of ``doc_id`` alone; a column of the same name as a
     score is not among them.
     """
-    scores = ["expected_grade", "p_good", "p_clean", "kept"]
+    scores = [part.split()[0] for part in SCORES.split(", ")]
     names = ["doc_id"] if extra is None else [c for c in extra if c not in scores]
     rows = docs.select(*names, F.col("text").alias("_scored_text"))
+    return rows.mapInArrow(_scorer(model, len(names), scores), _with_scores(rows.schema.fields[: len(names)]))
+
+
+def _with_scores(fields: list[T.StructField]) -> T.StructType:
+    return T.StructType([*fields, *T.StructType.fromDDL(SCORES).fields])
+
+
+def _scorer(model: Model, width: int, scores: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds scores to batches of ``width`` columns followed by the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p = np.concatenate([tails(model, own) for _, own in words.chunks(batch.column(len(names)))])
+                p = np.concatenate([tails(model, own) for _, own in words.chunks(batch.column(width))])
                 columns = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *scores])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], *scores])
+
+    return run
+
+
+def keep_rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns, whatever their names."""
+    model = train(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                text = batch.column(batch.schema.names.index("text"))
+                good = np.concatenate([tails(model, own)[:, 0] for _, own in words.chunks(text)]) >= 0.5
+                yield batch.filter(pa.array(good))
 
-    schema = T.StructType(rows.schema.fields[: len(names)]).add("expected_grade", "double").add("p_good", "double").add("p_clean", "double")
-    return rows.mapInArrow(run, schema.add("kept", "boolean"))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, extra: list[str] | None = None) -> DataFrame:

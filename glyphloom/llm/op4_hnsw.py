@@ -17,12 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import materialise, table
+from glyphloom.llm.common import Scratch, table
 from glyphloom.llm.components import components
 
 COSINE = 0.9
-SHARDS = 8  # at least; one more for each SHARD_ROWS vectors beyond
-SHARD_ROWS = 100_000
+SHARDS = 8  # at least; more so that a shard holds about SHARD_NUMBERS components of vectors, whatever their length
+SHARD_NUMBERS = 6_400_000
+QUERY_NUMBERS = 1 << 20  # components of the queries that go to a shard in one row; a shard's graph is sent once for each such row
 BLOCK = 2_048  # queries searched together
 LINKS = 12  # neighbours kept on upper layers, twice as many at the bottom
 BUILD_BEAM = 48
@@ -260,13 +261,16 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFra
         return pd.DataFrame({"a": [], "b": [], "n": []})
     query_ids, queries = pickle.loads(left["queries"].iat[0])
     graph, units, ids, weights, root, beam = pickle.loads(right["state"].iat[0])
-    q, v, _ = audited_pairs(graph, units, ids, queries, query_ids, least, beam)
-    n = np.bincount(q, weights[v], minlength=len(queries)).astype(np.int64)
-    met = np.unique(np.stack([query_ids[q], root[v]]), axis=1)
-    own = n > 0
-    return pd.DataFrame(
-        {"a": np.concatenate([query_ids[own], met[0]]), "b": np.concatenate([query_ids[own], met[1]]), "n": np.concatenate([n[own], np.zeros(met.shape[1], np.int64)])}
-    )
+    parts = []
+    for at in range(0, len(queries), BLOCK):
+        own_ids = query_ids[at : at + BLOCK]
+        q, v, _ = audited_pairs(graph, units, ids, queries[at : at + BLOCK], own_ids, least, beam)
+        n = np.bincount(q, weights[v], minlength=len(own_ids)).astype(np.int64)
+        met = np.unique(np.stack([own_ids[q], root[v]]), axis=1)
+        some = n > 0
+        a, b = (np.concatenate([own_ids[some], met[k]]) for k in range(2))
+        parts.append(pd.DataFrame({"a": a, "b": b, "n": np.concatenate([n[some], np.zeros(met.shape[1], np.int64)])}))
+    return pd.concat(parts)
 
 
 def linked(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS) -> DataFrame:
@@ -278,34 +282,38 @@ def linked(vectors: DataFrame, least: float = COSINE, shards: int = SHARDS) -> D
     that share a vec_id count as one vector, the largest valid one; a null vec_id is never linked and not kept. An
     empty table gives no rows.
     """
+    with Scratch(vectors.sparkSession) as own:
+        return own.keep(own.table(_linked(vectors, least, shards, own), "linked"))
+
+
+def _linked(vectors: DataFrame, least: float, shards: int, own: Scratch) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = rows.where("vec_id is not null and size(embedding) > 0").where(~bad & F.exists("embedding", lambda x: x != 0))
-    single = valid.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
-    single = materialise(single, "vectors")
+    single = own.table(valid.groupBy("vec_id").agg(F.max("embedding").alias("embedding")), "vectors")
     classes = single.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
-    classes = materialise(classes.withColumn("dim", F.size("embedding")), "classes")
-    members = single.join(classes.select("embedding", "rep", "w"), "embedding").select("vec_id", "rep", "w")
-    members = materialise(members, "members")
-    n = classes.count()
-    count, blocks = max(shards, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK))
+    classes = own.table(classes.withColumn("dim", F.size("embedding")), "classes")
+    members = own.table(single.join(classes.select("embedding", "rep", "w"), "embedding").select("vec_id", "rep", "w"), "members")
+    own.drop(single)
+    numbers = classes.agg(F.sum("dim")).first()[0] or 0
+    count, blocks = max(shards, -(-numbers // SHARD_NUMBERS)), max(1, -(-numbers // QUERY_NUMBERS))
 
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(count)).cast("int"))
     graphs = dealt.groupBy("dim", "shard").applyInPandas(
         lambda g: _build(g, least), "dim int, shard int, state binary, a array<bigint>, b array<bigint>"
     )
-    graphs = materialise(graphs, "graphs")
+    graphs = own.table(graphs, "graphs")
     packed = classes.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = materialise(packed.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary"), "blocks")
+    packed = own.table(packed.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary"), "blocks")
     left = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     right = graphs.select("dim", "shard", "state", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     key = ["dim", "shard", "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda x, y: _search(x, y, least), "a bigint, b bigint, n bigint")
-    found = materialise(found, "found")
+    found = own.table(found, "found")
 
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     inside = graphs.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
-    labels = components(found.where("n = 0").select("a", "b").unionByName(inside)).withColumnRenamed("node", "rep")
+    labels = components(found.where("n = 0").select("a", "b").unionByName(inside), own).withColumnRenamed("node", "rep")
     known = members.join(counts, "rep", "left").join(labels, "rep", "left")
     known = known.select(
         F.col("vec_id").alias("_id"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")

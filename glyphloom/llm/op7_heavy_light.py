@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm import words
-from glyphloom.llm.common import discard, materialise, table
+from glyphloom.llm.common import Scratch, table
 from glyphloom.llm.components import components
 
 PERCENT = 80
@@ -41,6 +41,7 @@ BROADCAST_IDS = 500_000  # ids at most that are sent to every executor; more are
 LONG = 24  # members of a list that is contracted first
 ROUNDS = 5
 LARGEST_LIGHT = 12
+_SALT = np.uint64(0xA0761D6478BD642F)  # sets the second of two hashes apart
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -73,16 +74,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+_DESCRIBED = "doc_id bigint, n int, s1 bigint, s2 bigint, some array<bigint>"
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and a 128-bit signature of each document's set, and its shingles with hashes of a fixed residue."""
-    salt = np.uint64(0xA0761D6478BD642F)
     for batch in batches:
         n, one, two, some = [], [], [], []
         for own in _sets(batch.column(1)):
             n.append(len(own))
             some.append(_signed(own[own % np.uint64(SAMPLED) == 0]))
             one.append(own.sum(dtype=np.uint64))
-            two.append(words.mix(own ^ salt).sum(dtype=np.uint64))
+            two.append(words.mix(own ^ _SALT).sum(dtype=np.uint64))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(n, pa.int32()), *(pa.array(_signed(np.array(x, dtype=np.uint64))) for x in (one, two)),
@@ -92,19 +95,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def passage_shingles(docs: DataFrame, sizes: DataFrame) -> np.ndarray:
+def passage_shingles(texts: DataFrame, sizes: DataFrame) -> np.ndarray:
     """Shingles of passages that many texts share, sorted.
 
-    The numbers of texts are counted for all shingles of one hash residue, over all documents; a passage of some
+    The numbers of texts are counted for all shingles of one hash residue, over all different sets; a passage of some
     length has one of these. Of the ``PASSAGES`` most frequent, one document each shows what stands around it.
     """
-    hits = sizes.where("n > 0 and doc_id is not null").select("s1", "doc_id", F.explode("some").alias("shingle"))
-    hits = hits.groupBy("shingle", "s1").agg(F.min("doc_id").alias("d")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"))
+    hits = sizes.select("doc_id", F.explode("some").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d"))
     top = hits.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "shingle").limit(PASSAGES).select("shingle", "d").toPandas()
     known = np.sort(np.array(top["shingle"], dtype=np.int64).view(np.uint64))
     if not len(known):
         return known
-    where = docs.sparkSession.createDataFrame(top[["d"]].drop_duplicates().astype("int64"), "doc_id bigint")
+    where = texts.sparkSession.createDataFrame(top[["d"]].drop_duplicates().astype("int64"), "doc_id bigint")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,24 +120,19 @@ def passage_shingles(docs: DataFrame, sizes: DataFrame) -> np.ndarray:
                         np.add.at(edge, np.minimum(at + AROUND + 1, len(run)), -1)
                         yield pa.RecordBatch.from_arrays([pa.array(_signed(np.unique(run[np.cumsum(edge[:-1]) > 0])))], ["shingle"])
 
-    shown = docs.join(F.broadcast(where), "doc_id", "left_semi").select("text").mapInArrow(around, "shingle bigint")
+    shown = texts.join(F.broadcast(where), "doc_id", "left_semi").select("text").mapInArrow(around, "shingle bigint")
     found = shown.distinct().limit(LATE).toPandas()["shingle"]
     return np.unique(np.concatenate([known, np.array(found, dtype=np.int64).view(np.uint64)]))
 
 
-def late_shingles(docs: DataFrame) -> np.ndarray:
+def late_shingles(texts: DataFrame, own: Scratch) -> np.ndarray:
     """Shingles of the lines that most texts share, sorted: at most ``LATE`` of at most ``LINES`` lines."""
-    lines = docs.where("text is not null").select(
-        F.xxhash64("text").alias("t"), "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
-    )
-    hashed = lines.where("length(line) > 8").select(F.xxhash64("line").alias("l"), "t", "doc_id")
-    often = (
-        hashed.groupBy("l", "t").agg(F.min("doc_id").alias("d")).groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"))
-        .where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "l").limit(LINES)
-    )
-    top = materialise(often, "lines")
+    lines = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    hashed = lines.where("length(line) > 8").select(F.xxhash64("line").alias("l"), "doc_id")
+    often = hashed.groupBy("l").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("d")).where(F.col("c") >= FREQUENT)
+    top = own.table(often.orderBy(F.desc("c"), "l").limit(LINES), "lines")
     where = F.broadcast(top.select(F.col("d").alias("doc_id")).distinct())
-    shown = docs.join(where, "doc_id", "left_semi").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    shown = texts.join(where, "doc_id", "left_semi").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     shown = shown.select("line", F.xxhash64("line").alias("l")).join(F.broadcast(top.select("l", "c")), "l").dropDuplicates(["l"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +146,31 @@ def late_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array(most.toPandas()["shingle"], dtype=np.int64).view(np.uint64))
 
 
-def prefixes(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n and the prefix of each document's set, as bytes."""
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles of a set have each value of their first bits; empty if a number doesn't fit a byte."""
+    bits = min(max((len(own) // 3).bit_length(), 4), 16)
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_common(x: bytes, y: bytes) -> int | None:
+    """At most so many shingles two sets share, by their sketches; None if these don't tell."""
+    if not x or not y:
+        return None
+    a, b = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
+
+
+def prefixes(texts: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
+    """node, n, the prefix of each document's set as bytes, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, out = [], []
+            n, out, sketches = [], [], []
             for own in _sets(batch.column(1)):
                 size = prefix_length(len(own), percent) if len(own) else 0
+                sketches.append(sketch(own))
                 if len(late) and len(own):
                     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
                     last = late[at] == own
@@ -164,10 +178,10 @@ def prefixes(docs: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
                 n.append(len(own))
                 out.append(own[:size].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["node", "n", "prefix"]
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(sketches, pa.binary())], ["node", "n", "prefix", "sketch"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node bigint, n int, prefix binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, n int, prefix binary, sketch binary")
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,37 +202,56 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Documents whose id is (not) in ``ids``; a small checked table of ids is broadcast, a larger one shuffled."""
+def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``key`` is (not) in ``ids``; a small checked table of ids is broadcast, a larger one shuffled."""
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
+    return rows.join(F.broadcast(ids) if small else ids, key, how)
+
 
+def _paired(pairs: DataFrame, rows: DataFrame, value: str, own: Scratch) -> DataFrame:
+    """a, b and both sides' n and ``value`` (as xn, yn, x, y) from ``rows`` (node, n, ``value``)."""
+    ids = own.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    chosen = only(rows.select("node", "n", value), ids, "node")
+    left = chosen.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col(value).alias("x"))
+    right = chosen.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col(value).alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xn", "yn", "x", "y")
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets link, compared in full."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+
+def verified(texts: DataFrame, held: DataFrame, pairs: DataFrame, percent: int, own: Scratch) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sets link: those that sketches don't rule out are compared in full."""
+
+    def links(x: int, y: int, common: int) -> bool:
+        return 100 * common >= percent * (x + y - common)
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            most = map(most_common, x, y)
+            good = [c is None or links(i, j, c) for i, j, c in zip(n, m, most)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets = list(_sets(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in _sets(batch.column(1))], pa.binary())], ["node", "shingles"]
+                [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "shingles"]
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(4), batch.column(5)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int(np.count_nonzero(y[at] == x))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
+                good.append(links(len(x), len(y), int(np.count_nonzero(y[at] == x))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    chosen = only(docs.select("doc_id", "text"), ids)
-    sets = materialise(chosen.mapInArrow(whole, "node bigint, shingles binary").dropDuplicates(["node"]), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    left = own.table(_paired(pairs, held, "sketch", own).mapInArrow(plausible, "a bigint, b bigint"), "plausible")
+    ids = own.table(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = own.table(only(texts, ids, "doc_id").mapInArrow(whole, "node bigint, n int, shingles binary"), "sets")
+    found = own.table(_paired(left, sets, "shingles", own).mapInArrow(compare, "a bigint, b bigint"), "verified")
+    own.drop(left, ids, sets)
+    return found
 
 
 def light_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
@@ -232,28 +265,34 @@ def light_boundary(sizes: dict[int, int], list_length: float, percent: int) -> i
     return best
 
 
-def light_links(docs: DataFrame, nodes: DataFrame, largest: int, percent: int) -> DataFrame:
-    """Links between sets of at most ``largest`` shingles, each to the smallest node that it meets in a subset."""
+def light_links(texts: DataFrame, nodes: DataFrame, largest: int, percent: int, own: Scratch) -> DataFrame:
+    """Links between sets of at most ``largest`` shingles, each to the smallest node that it meets in a subset.
+
+    A subset is known by two 64-bit hashes.
+    """
+    names = ["k1", "k2", "lo", "hi", "node", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            for node, own in zip(batch.column(0).to_pylist(), _sets(batch.column(1))):
-                m = len(own)
+            rows: list[tuple[int, ...]] = []
+            for node, found in zip(batch.column(0).to_pylist(), _sets(batch.column(1))):
+                m = len(found)
                 if not 0 < m <= largest:
                     continue
+                both = list(zip(found.tolist(), words.mix(found ^ _SALT).tolist()))
                 for n in partners(m, percent):
                     if n <= largest:
-                        for part in combinations(own.tolist(), need(m, n, percent)):
-                            key = int(words.mix(np.array([sum(part) + (len(part) << 8) & (1 << 64) - 1], dtype=np.uint64)).view(np.int64)[0])
-                            rows.append((key, min(m, n), max(m, n), node, m))
+                        for part in combinations(both, need(m, n, percent)):
+                            sums = np.array([sum(x) + (len(part) << 8) & (1 << 64) - 1 for x in zip(*part)], dtype=np.uint64)
+                            rows.append((*words.mix(sums).view(np.int64).tolist(), min(m, n), max(m, n), node, m))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "lo", "hi", "node", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    keyed = materialise(only(docs.select("doc_id", "text"), nodes).mapInArrow(run, "key bigint, lo bigint, hi bigint, node bigint, m bigint"), "subsets")
-    met = keyed.groupBy("key", "lo", "hi").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min("m").alias("m0"), F.max("m").alias("m1"))
-    met = materialise(met.where("hub <> top and m0 = lo and m1 = hi").select("key", "lo", "hi", "hub"), "met")
-    return keyed.join(met, ["key", "lo", "hi"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    keyed = own.table(only(texts, nodes, "doc_id").mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "subsets")
+    met = keyed.groupBy(*names[:4]).agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min("m").alias("m0"), F.max("m").alias("m1"))
+    met = met.where("hub <> top and m0 = lo and m1 = hi").select(*names[:4], "hub")
+    links = keyed.join(met, names[:4]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    return own.table(links, "links")
 
 
 def _common_prefix(n: Column, m: Column, percent: int) -> Column:
@@ -265,121 +304,167 @@ def _common_prefix(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent)) - rest
 
 
-def contracted(texts: DataFrame, long: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, ...]:
-    """Links found by comparing members of long lists with one hub each, in rounds with other hubs.
+def _placed(long: DataFrame, labels: DataFrame, own: Scratch) -> DataFrame:
+    """Entries of lists that still span several components, with their component (``comp``)."""
+    known = long.join(labels, "node", "left").select("shingle", "node", "n", "e", "r", "l", F.coalesce("component", "node").alias("comp"))
+    known = own.table(known, "known")
+    open_lists = known.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+    placed = own.table(known.join(open_lists, "shingle", "left_semi"), "placed")
+    own.drop(known)
+    return placed
+
+
+def contracted(texts: DataFrame, held: DataFrame, long: DataFrame, links: DataFrame, percent: int, own: Scratch) -> tuple[DataFrame, ...]:
+    """Links found by comparing members of long lists with one hub each.
 
-    Returns all links, the labels of their components, and the entries of lists that still span several components with
-    these. It stops when few pairs are left, or after ``ROUNDS``; what is
-    left is compared in full by the caller.
+    Returns all links, the labels of their components, and the entries of lists that still span several components.
+    Rounds with other hubs follow while at least half of what a round compares links, and there are ``ROUNDS`` at most;
+    what is left is compared in full by the caller.
     """
-    labels = materialise(components(links), "labels")
-    for turn in range(ROUNDS + 1):
-        placed = long.join(labels, "node", "left").select("shingle", "node", "n", "e", "r", "l", F.coalesce("component", "node").alias("comp"))
-        placed = materialise(placed, "placed")
-        shares = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-        lists = shares.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-        lists = lists.where("parts > 1").select("shingle", "all", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
-        lists = materialise(lists, "open")
-        left = lists.agg(F.sum("pairs"), F.sum("all")).first()
-        placed = placed.join(lists.select("shingle"), "shingle", "left_semi")
-        if turn == ROUNDS or not left[0] or turn and left[0] <= LONG * left[1]:
-            return links, labels, materialise(placed, "placed")
+    labels = components(links, own)
+    placed = _placed(long, labels, own)
+    for turn in range(ROUNDS):
         # The first hub is the set with the largest share of its prefix in lists: the middle of a group of near copies.
         middle = -F.col("e") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) if turn == 0 else F.lit(0.0)
         rank = F.struct(middle.alias("m"), F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node"), F.col("n"), F.col("comp"), F.col("e"))
-        own = materialise(placed, "own")
-        hubs = own.groupBy("shingle").agg(F.min(rank).alias("hub"))
-        near = own.join(hubs, "shingle").where(
+        hubs = placed.groupBy("shingle").agg(F.min(rank).alias("hub"))
+        near = placed.join(hubs, "shingle").where(
             (F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
             & (F.least("e", "hub.e") >= _common_prefix(F.col("n"), F.col("hub.n"), percent))
         )
         best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
-        pairs = materialise(best.select(F.col("node").alias("a"), "b"), "pairs")
-        links = materialise(links.unionByName(verified(texts, pairs, percent)), "links")
-        labels = materialise(components(links), "labels")
-        discard(own)
-    raise AssertionError("the last round returns")
-
-
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Every document with the size of its shingle set and its component of links.
-
-    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included). Null and
-    empty texts have no shingles and are components of their own. Rows that share a doc_id count as one document
-    when links are followed, and each is returned; a null doc_id is never linked and has a null component. An empty
-    table gives no rows. Columns other than doc_id and text are ignored.
+        pairs = own.table(best.select(F.col("node").alias("a"), "b"), "pairs")
+        compared = pairs.count()
+        if not compared:
+            break
+        found = verified(texts, held, pairs, percent, own)
+        links = own.table(links.unionByName(found), "links")
+        own.drop(pairs, labels, placed)
+        labels = components(links, own)
+        placed = _placed(long, labels, own)
+        if 2 * found.count() < compared:
+            break
+    return links, labels, placed
+
+
+def _across(placed: DataFrame, largest: int, percent: int) -> DataFrame:
+    """Pairs of different components that share a long list and could share enough shingles.
+
+    Of two components that meet in a list at most one is the list's largest, so the other's members are enough on one side.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sizes = materialise(docs.mapInArrow(_describe, "doc_id bigint, n int, s1 bigint, s2 bigint, some array<bigint>"), "sizes")
-    full = sizes.where("n > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
-    members = materialise(full.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "node"), "members")
-    copies = materialise(members.where("doc_id <> node").select("doc_id").distinct().join(members.where("doc_id = node").select("doc_id"), "doc_id", "left_anti"), "copies")
-    texts = docs.where("doc_id is not null")
-
-    late = np.union1d(late_shingles(texts), passage_shingles(texts, sizes))
-    shown = only(prefixes(texts, late, percent).where("n > 0").withColumnRenamed("node", "doc_id"), copies, "left_anti")
-    held = materialise(shown.withColumnRenamed("doc_id", "node").select("node", "n", "prefix"), "prefixes")
-    entries = held.mapInArrow(_unfold, "shingle bigint, node bigint, n int")
-    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = materialise(entries.join(counts, "shingle").select("shingle", "node", "n", "c"), "lists")
-
-    small = {r["n"]: r["k"] for r in held.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    mean = lists.agg(F.avg("c")).first()[0] or 0.0
-    largest = light_boundary(small, mean, percent)
-    links = materialise(light_links(texts, held.where(F.col("n") <= largest).select(F.col("node").alias("doc_id")).distinct(), largest, percent), "links")
-    discard(held, classes)
-
-    if largest:
-        lists = lists.where(F.col("n") >= percent * (largest + 1) // 100)
-    # No pair shares more prefix shingles than one of its sets has in lists at all.
-    degrees = lists.groupBy("node").agg(F.count(F.lit(1)).alias("e"))
-    long = lists.where(F.col("c") > LONG).drop("c").join(degrees, "node")
-    own = Window.partitionBy("node")
-    long = long.withColumn("r", F.row_number().over(own.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(own))
-    long = materialise(long.select("shingle", "node", "n", "e", "r", "l"), "long")
-    links, labels, placed = contracted(texts, long, links, percent)
-    # Of two components that meet in a list at most one is the list's largest, so the other's members are enough on one side.
     largest_part = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"))
     minor = placed.join(largest_part, "shingle").where("comp <> big")
     sides = {
         end: rows.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in "nerl"))
         for rows, part, end in ((minor, "p", "a"), (placed, "q", "b"))
     }
-    across = sides["a"].join(sides["b"], "shingle").where("p <> q")
-    na, nb = F.col("na"), F.col("nb")
-    fits = (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.greatest(na, nb) > largest)
+    least = _common_prefix(F.col("na"), F.col("nb"), percent)
     # Of the entries that both have in long lists at least ``most`` must agree, so the first that agrees comes early in both.
-    least = _common_prefix(na, nb, percent)
     most = F.greatest(least - F.least(F.col("ea") - F.col("la"), F.col("eb") - F.col("lb")), F.lit(1))
     early = (F.col("ra") <= F.col("la") - most + 1) & (F.col("rb") <= F.col("lb") - most + 1)
-    across = across.where(fits & (F.least("ea", "eb") >= least) & early)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = materialise(across, "across")
-    short = lists.where(F.col("c") <= LONG)
-    within = (
+    fits = _fits(largest, percent) & (F.least("ea", "eb") >= least)
+    pairs = sides["a"].join(sides["b"], "shingle").where("p <> q").where(fits & early)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _within(short: DataFrame, long: DataFrame, largest: int, percent: int) -> DataFrame:
+    """Pairs that share a short list and could share enough shingles."""
+    na, nb = F.col("na"), F.col("nb")
+    shared = (
         short.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
-        .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").where(fits)
+        .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").where(_fits(largest, percent))
         .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     )
-    in_long = materialise(long.select("node", "l").distinct(), "in-long")
+    in_long = long.select("node", "l").distinct()
     in_long = F.broadcast(in_long) if in_long.count() <= BROADCAST_IDS else in_long
     for end in ("a", "b"):
-        within = within.join(in_long.select(F.col("node").alias(end), F.col("l").alias(f"l{end}")), end, "left")
+        shared = shared.join(in_long.select(F.col("node").alias(end), F.col("l").alias(f"l{end}")), end, "left")
     common = F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    kept = materialise(within.where(common >= least).select("a", "b").unionByName(across).distinct(), "pairs")
-    discard(lists)
-    known = labels.select(F.col("node"), F.col("component"))
+    return shared.where(common >= _common_prefix(na, nb, percent)).select("a", "b")
+
+
+def _fits(largest: int, percent: int) -> Column:
+    """Sizes that can link, and aren't both light."""
+    na, nb = F.col("na"), F.col("nb")
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.greatest(na, nb) > largest)
+
+
+def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch) -> DataFrame:
+    """Links, enough for all components, between documents with different sets.
+
+    ``texts`` (doc_id, text) has each id once, ``sizes`` (doc_id, n, some) the same documents.
+    """
+    late = np.union1d(late_shingles(texts, own), passage_shingles(texts, sizes))
+    held = own.table(prefixes(texts, late, percent), "prefixes")
+    entries = held.select("node", "n", "prefix").mapInArrow(_unfold, "shingle bigint, node bigint, n int")
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = own.table(entries.join(counts, "shingle").select("shingle", "node", "n", "c"), "lists")
+
+    small = {r["n"]: r["k"] for r in held.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    mean = lists.agg(F.avg("c")).first()[0] or 0.0
+    largest = light_boundary(small, mean, percent)
+    links = light_links(texts, held.where(F.col("n") <= largest).select(F.col("node").alias("doc_id")), largest, percent, own)
+
+    if largest:
+        lists = lists.where(F.col("n") >= percent * (largest + 1) // 100)
+    # No pair shares more prefix shingles than one of its sets has in lists at all.
+    degrees = lists.groupBy("node").agg(F.count(F.lit(1)).alias("e"))
+    long = lists.where(F.col("c") > LONG).drop("c").join(degrees, "node")
+    by_node = Window.partitionBy("node")
+    long = long.withColumn("r", F.row_number().over(by_node.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(by_node))
+    long = own.table(long.select("shingle", "node", "n", "e", "r", "l"), "long")
+    links, labels, placed = contracted(texts, held, long, links, percent, own)
+    pairs = _within(lists.where(F.col("c") <= LONG), long, largest, percent).unionByName(_across(placed, largest, percent)).distinct()
     for end in ("a", "b"):
-        kept = kept.join(known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    kept = materialise(kept.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "pairs")
-    links = links.unionByName(verified(texts, kept, percent))
-    labels = materialise(components(links), "labels")
-
-    out = members.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component_id"))
-    empty = sizes.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    pairs = own.table(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "pairs")
+    return links.unionByName(verified(texts, held, pairs, percent, own))
+
+
+def _linked_rows(docs: DataFrame, percent: int, own: Scratch) -> DataFrame:
+    """doc_id, n, component of all rows of ``docs`` (doc_id, text); an id comes once, or not at all (null)."""
+    sizes = own.table(docs.mapInArrow(_describe, _DESCRIBED), "sizes")
+    full = sizes.where("n > 0 and doc_id is not null")
+    classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("k"))
+    members = full.select("doc_id", "n", "s1", "s2").join(own.table(classes.where("k > 1"), "classes"), ["n", "s1", "s2"], "left")
+    members = members.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
+    members = own.table(members.unionByName(sizes.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("node"))), "members")
+    copies = members.where("doc_id <> node or n = 0").select("doc_id")
+    texts = only(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
+    single = only(full.select("doc_id", "n", "some"), copies, "doc_id", "left_anti")
+    labels = components(class_links(texts, single, percent, own), own)
+    return members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
+
+
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every document with the size of its shingle set and its component of links.
+
+    Columns: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included). Null and
+    empty texts have no shingles and are components of their own. Rows that share a doc_id count as one document
+    when links are followed, and each is returned with its own size; a null doc_id is never linked and has a null
+    component. An empty table gives no rows. Columns other than doc_id and text are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    with Scratch(docs.sparkSession) as own:
+        named = docs.where("doc_id is not null").select("doc_id")
+        if named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+            out = _linked_rows(docs, percent, own)
+        else:
+            # Each different row is known by a number of its own, and linked to the first row of its id.
+            rows = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("k"))
+            rows = own.table(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+            found = own.table(_linked_rows(rows.select(F.col("row").alias("doc_id"), "text"), percent, own), "found")
+            found = found.join(rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "k"), "doc_id")
+            found = own.table(found.select("id", "n", "component", "k"), "found")
+            # Ids in one component are linked to its smallest id.
+            hubs = found.groupBy("component").agg(F.min("id").alias("b"))
+            joined = components(found.join(hubs, "component").select(F.col("id").alias("a"), "b"), own)
+            each = found.select(F.col("id").alias("node"), "n", F.explode(F.sequence(F.lit(1), F.col("k"))))
+            out = each.join(joined, "node", "left").select(F.col("node").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"))
+            unnamed = docs.where("doc_id is null").mapInArrow(_describe, _DESCRIBED)
+            out = out.unionByName(unnamed.select("doc_id", "n", F.col("doc_id").alias("component")))
+        return own.keep(own.table(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")), "linked"))
 
 
 def op7_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:

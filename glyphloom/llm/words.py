@@ -41,6 +41,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def word_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of ``raw`` (bytes)."""
+    word = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``at`` to ``to``, with A-Z as a-z."""
+    n = len(raw)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[raw] * _power(_BASE, n), out=sums[1:])
+    own = (sums[to] - sums[at]) * _power(_INVERSE, n + 1)[at]
+    return mix(own + (to - at).astype(np.uint64))
+
+
 class Words:
     """The words of a list of texts: ``begin`` (first word of each text, and the end), ``hashes``, ``at``, ``to`` (bytes)."""
 
@@ -55,10 +71,7 @@ class Words:
         self.at = np.flatnonzero(word & ~(before & ~edge[:-1]))
         self.to = np.flatnonzero(word & ~(after & ~edge[1:])) + 1
         self.begin = np.searchsorted(self.at, offsets)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUE[raw] * _power(_BASE, n), out=sums[1:])
-        own = (sums[self.to] - sums[self.at]) * _power(_INVERSE, n + 1)[self.at]
-        self.hashes = mix(own + (self.to - self.at).astype(np.uint64))
+        self.hashes = word_hashes(raw, self.at, self.to)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -1,11 +1,14 @@
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from glyphloom.llm import op7_heavy_light as join
 from glyphloom.llm import op10_line_join as lines
 from glyphloom.llm import words
+from glyphloom.llm.common import Scratch, forget, kept, scratch_dir
 from glyphloom.llm.components import components
 
 
@@ -65,6 +68,36 @@ def test_join_with_light_sets_and_long_lists(spark, monkeypatch):
     assert got == linked(rows)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    one, two = ("a b c d e f g h i j k l", "m n o p q r s t u v w x")
+    rows = [(5, one), (5, two), (3, one), (9, two), (9, two), (9, two + " y"), (4, None), (4, "z"), (None, one), (None, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    assert got == linked(rows)
+
+
+def test_sketches_never_lose_a_shingle():
+    rng = np.random.default_rng(3)
+    for n, m, shared in ((3, 5, 2), (40, 44, 30), (900, 30, 20), (5000, 5200, 4800), (0, 4, 0)):
+        both = rng.integers(0, 1 << 64, shared, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, k - shared, dtype=np.uint64)])) for k in (n, m))
+        most = join.most_common(join.sketch(x), join.sketch(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(n, m)
+    assert join.most_common(join.sketch(np.zeros(300, np.uint64)), join.sketch(both)) is None
+
+
+def test_only_what_the_result_reads_is_left(spark, docs):
+    def tables():
+        where = scratch_dir(spark).removeprefix("file://").removeprefix("file:")
+        return set(os.listdir(where)) if os.path.isdir(where) else set()
+
+    before, held = tables(), kept()
+    out = join.linked(docs)
+    left = tables() - before
+    assert len(left) == len(kept() - held) == 1 and out.count() == docs.count()
+    forget(kept() - held)
+    assert tables() == before
+
+
 def test_light_subsets_cost_less_than_lists_only_while_small():
     assert join.subset_keys(1, 12) == 1
     assert join.subset_keys(12, 12) > join.prefix_length(12)
@@ -75,7 +108,8 @@ def test_light_subsets_cost_less_than_lists_only_while_small():
 def test_components_of_a_long_chain(spark):
     n = 40
     rows = [(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()}
+    with Scratch(spark) as own:
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a bigint, b bigint"), own).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
 
 
