@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Iterator
 from types import TracebackType
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 20_000
+BROADCAST_ROWS = 500_000  # keys at most that go to every executor
 #: Batches between Spark and Python: rows hold whole texts, and batches live outside the heap.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 #: Shuffle files of a scratch table's job go as soon as the table is written, not when the driver collects its garbage.
@@ -75,17 +76,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, str, dict[str, int]]:
+    """The table, its path, and what was observed of its rows while they were written: ``rows`` and ``more``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    seen = Observation(path)
     with settings(spark, _CLEAN):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *more).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path, seen.get
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """A scratch table that an operator's result reads: written as Parquet and read back, until ``forget`` deletes it."""
-    out, path = _written(df, label)
+    out, path, _ = _written(df, label)
     _kept[path] = df.sparkSession
     return out
 
@@ -99,30 +102,39 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.tables: dict[int, tuple[DataFrame, str, dict[str, int]]] = {}
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        self.drop(*(df for df, _ in list(self.paths.values())))
+        self.drop(*(df for df, *_ in list(self.tables.values())))
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back."""
-        out, path = _written(df, label)
-        self.paths[id(out)] = (out, path)
+    def table(self, df: DataFrame, label: str, *more: Column) -> DataFrame:
+        """Write ``df`` as Parquet and read it back; its rows are counted, and ``more`` (named aggregates) taken, on the way."""
+        out, path, seen = _written(df, label, *more)
+        self.tables[id(out)] = (out, path, seen)
         return out
 
+    def seen(self, df: DataFrame) -> dict[str, int]:
+        """What was observed of a table: ``rows`` and what else was asked for."""
+        return self.tables[id(df)][2]
+
+    def small(self, df: DataFrame, *columns: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+        """A table of keys (or ``columns`` of it), broadcast if it has no more than ``most`` rows; a larger one is shuffled."""
+        own = df.select(*columns) if columns else df
+        return F.broadcast(own) if self.seen(df)["rows"] <= most else own
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more; others are left alone."""
         for df in tables:
-            held, path = self.paths.pop(id(df), (None, ""))
+            held = self.tables.pop(id(df), None)
             if held is not None:
-                _delete(self.spark, path)
+                _delete(self.spark, held[1])
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Leave a table to the caller, whose result reads it; ``forget`` deletes it."""
-        _, path = self.paths.pop(id(df))
+        _, path, _ = self.tables.pop(id(df))
         _kept[path] = self.spark
         return df
 

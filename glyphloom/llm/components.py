@@ -27,12 +27,11 @@ def components(links: DataFrame, own: Scratch) -> DataFrame:
         small = hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             roots.select(F.col("w").alias("u"), F.col("m").alias("v"))
         )
-        before, edges = edges, own.table(small.distinct(), "edges")
+        before, edges = edges, own.table(small.distinct(), "edges", F.bit_xor(F.xxhash64("u", "v")).alias("state"))
         own.drop(before)
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(state) == last:
+        if own.seen(edges) == last:
             break
-        last = tuple(state)
+        last = own.seen(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     labels = (
         edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -17,17 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import Scratch, table
+from glyphloom.llm.common import BROADCAST_ROWS, Scratch, table
 
 PERCENT = 80
 FREQUENT = 24
 SAMPLED = 4  # shingles with hashes divisible by this show where frequent passages are
-BROADCAST_KEYS = 500_000
 
 
-def plain(text: str) -> Column:
+def plain(text: Column) -> Column:
     """A text in lower case, with blanks for tabs and other ASCII white space but line feeds."""
-    out = F.lower(F.col(text))
+    out = F.lower(text)
     for blank in ("\t", "\r", "\x0b", "\x0c"):
         out = F.replace(out, F.lit(blank), F.lit(" "))
     return out
@@ -42,10 +41,10 @@ def with_shingles(lines: DataFrame) -> DataFrame:
     return worded.withColumn("s", F.sort_array(F.array_distinct(shingles))).drop("h")
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Lines of all texts: doc_id, text_hash, line_no (from 0), line (of the plain text)."""
+def numbered_lines(docs: DataFrame, text: Column) -> DataFrame:
+    """Lines of all texts: doc_id, text_hash, line_no (from 0), line (of ``text``, the text or the plain one)."""
     return docs.where("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(plain("text"), "\n")).alias("line_no", "line")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
 
 
@@ -62,11 +61,6 @@ def _prefix(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / 100) + 1).cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A checked table of keys is broadcast if small; a larger one is shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
-
-
 def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
     """Candidates (x, y) with y the earlier: they meet in a prefix and could share enough shingles."""
     a = later.select("token", *(F.col(c).alias(f"x_{c}") for c in ("cls", "n", "at", "first", "e")))
@@ -85,19 +79,25 @@ def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, own: Scratch) -> DataFrame:
-    """cls and s of the ``classes`` (cls), read at their first lines; only the documents of these are split."""
-    places = own.table(firsts.join(_small(classes), "cls").select("cls", "first.*"), "places")
-    at = _small(places.select("cls", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l")))
+    """A table of cls and s of the ``classes`` (cls), read at their first lines; only the documents of these are split.
+
+    It is written at once: a filter that is pushed below the shingles would compute the words again for each shingle.
+    """
+    places = own.table(firsts.join(own.small(classes), "cls").select("cls", "first.*"), "places")
+    at = own.small(places, F.col("cls"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
     texts = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    texts = texts.join(_small(places.select("text_hash").distinct()), "text_hash", "left_semi").select("doc_id", "text")
+    texts = texts.join(own.small(places, F.col("text_hash")), "text_hash", "left_semi").select("doc_id", "text")
     same = (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    return with_shingles(numbered_lines(texts).join(at, same).select("cls", "line")).select("cls", "s")
+    lines = numbered_lines(texts, F.col("text")).join(at, same).select("cls", plain(F.col("line")).alias("line"))
+    sets = own.table(with_shingles(lines).select("cls", "s"), "sets")
+    own.drop(places)
+    return sets
 
 
 def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int, own: Scratch) -> DataFrame:
     """The classes ``x`` of pairs whose sets are similar, compared in full."""
     wanted = own.table(pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct(), "wanted")
-    sets = own.table(_sets(docs, firsts, wanted, own), "sets")
+    sets = _sets(docs, firsts, wanted, own)
     both = pairs.select("x", "y").join(sets.select(F.col("cls").alias("x"), F.col("s").alias("sx")), "x")
     both = both.join(sets.select(F.col("cls").alias("y"), F.col("s").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
@@ -111,7 +111,7 @@ def _members(docs: DataFrame, percent: int, own: Scratch) -> tuple[DataFrame, Da
     """All lines with words (doc_id, text_hash, line_no, cls, n, prefix), and each class's first place, size and number of lines."""
     n = F.size("s")
     # No filter on the shingles here: pushed down, it would compute the words again for each shingle.
-    lines = with_shingles(numbered_lines(docs)).select(
+    lines = with_shingles(numbered_lines(docs, plain(F.col("text")))).select(
         "doc_id", "text_hash", "line_no", class_hash().alias("cls"), F.hash("s").alias("second"), n.alias("n"),
         F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix"),
     )
@@ -120,15 +120,15 @@ def _members(docs: DataFrame, percent: int, own: Scratch) -> tuple[DataFrame, Da
     def grouped(rows: DataFrame) -> DataFrame:
         first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
         firsts = rows.groupBy("cls").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("second").alias("lo"), F.max("second").alias("hi"))
-        return own.table(firsts, "firsts")
+        return own.table(firsts, "firsts", F.count_if(F.col("lo") != F.col("hi")).alias("clashes"))
 
     firsts = grouped(members)
-    clash = firsts.where("lo <> hi").select("cls", F.lit(True).alias("clash"))
-    if not clash.isEmpty():  # different sets with the same hash are told apart by the second one
+    if own.seen(firsts)["clashes"]:  # different sets with the same hash are told apart by the second one
+        clash = own.table(firsts.where("lo <> hi").select("cls", F.lit(True).alias("clash")), "clash")
         cls = F.when(F.col("clash"), F.xxhash64("cls", "second")).otherwise(F.col("cls"))
-        members = own.table(members.join(_small(clash), "cls", "left").withColumn("cls", cls).drop("clash"), "lines")
+        members = own.table(members.join(own.small(clash), "cls", "left").withColumn("cls", cls).drop("clash"), "lines")
         firsts = grouped(members)
-    return members, firsts.drop("lo", "hi")
+    return members, firsts
 
 
 def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int, own: Scratch) -> DataFrame:
@@ -137,30 +137,32 @@ def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int,
     entries = members.select("cls", F.explode("prefix").alias("token"))
     some = entries.where(F.pmod("token", F.lit(SAMPLED)) == 0).groupBy("token")
     often = some.agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where((F.col("c") > FREQUENT) & (F.col("lo") != F.col("hi")))
-    often = own.table(often.select("token"), "often")
-    struck = own.table(entries.join(_small(often), "token").select("cls").distinct(), "struck")
+    hits = own.table(entries.join(own.small(own.table(often.select("token"), "often")), "token").select("token", "cls").distinct(), "hits")
+    often = own.table(hits.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "often")
+    struck = own.table(hits.join(own.small(often), "token", "left_semi").select("cls").distinct(), "struck")
     # All shingles of these lines are counted: what stands around a frequent shingle mostly is as frequent.
-    full = own.table(_sets(docs, firsts, struck, own).select("cls", F.size("s").alias("n"), F.explode("s").alias("token")), "full")
+    sets = _sets(docs, firsts, struck, own)
+    full = sets.select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))
     late = own.table(full.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT), "late")
-    moved = own.table(entries.join(_small(late), "token").select("cls").distinct(), "moved")
+    moved = own.table(entries.join(own.small(late), "token").select("cls").distinct(), "moved")
     rest = own.table(moved.join(struck, "cls", "left_anti"), "rest")
-    newly = _sets(docs, firsts, rest, own).select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))
-    again = only(full, moved).unionByName(newly).join(_small(late), "token", "left")
+    newly = _sets(docs, firsts, rest, own)
+    again = only(full, moved, own).unionByName(newly.select("cls", F.size("s").alias("n"), F.explode("s").alias("token"))).join(own.small(late), "token", "left")
     order = Window.partitionBy("cls").orderBy(F.coalesce("c", F.lit(0)), "token")
     again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
     again = own.table(again.select("token", "cls", F.col("at").cast("long")), "again")
-    own.drop(full)
-    stay = only(members, moved, "left_anti")
+    own.drop(sets, newly)
+    stay = only(members, moved, own, "left_anti")
     entries = stay.select("cls", F.explode("prefix").alias("token")).unionByName(again.select("cls", "token"))
     # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
     met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
     met = own.table(met, "met")
-    more = entries.join(_small(met.where("c > 2").select("token")), "token").select("token", "cls").distinct()
+    more = entries.join(own.small(own.table(met.where("c > 2").select("token"), "more")), "token").select("token", "cls").distinct()
     shared = own.table(met.where("c = 2").select("token", F.explode(F.array("lo", "hi")).alias("cls")).unionByName(more), "shared")
     own.drop(met)
-    kept = only(shared, moved, "left_anti")
+    kept = only(shared, moved, own, "left_anti")
     wanted = own.table(kept.select("cls").distinct(), "wanted")
-    prefixes = only(members, wanted).select("cls", "prefix").dropDuplicates(["cls"])
+    prefixes = only(members, wanted, own).select("cls", "prefix").dropDuplicates(["cls"])
     kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
     again = again.join(shared, ["token", "cls"])
     # No pair shares more prefix shingles than one of its sets has in lists at all.
@@ -171,9 +173,9 @@ def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int,
     return lists
 
 
-def only(rows: DataFrame, classes: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose class is (not) in ``classes``."""
-    return rows.join(_small(classes), "cls", how)
+def only(rows: DataFrame, classes: DataFrame, own: Scratch, how: str = "left_semi") -> DataFrame:
+    """Rows whose class is (not) in the table ``classes``."""
+    return rows.join(own.small(classes, F.col("cls")), "cls", how)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,8 +186,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as own:
         docs = docs.select(F.col("doc_id").cast("long"), "text")
-        repeated = docs.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        if not repeated.isEmpty():
+        repeated = docs.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
+        if (repeated.agg(F.max("k")).first()[0] or 0) > 1:
             docs = own.table(docs.distinct(), "documents")
         members, firsts = _members(docs, percent, own)
         lists = _lists(docs, members, firsts, percent, own)
@@ -198,12 +200,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             best = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
             near = best if near is None else near.unionByName(best).distinct()
         gone = _verified(docs, firsts, own.table(near, "near"), percent, own)
-        pairs = own.table(_pairs(only(lists, gone, "left_anti"), lists, percent).select("x", "y"), "pairs")
+        pairs = own.table(_pairs(only(lists, gone, own, "left_anti"), lists, percent).select("x", "y"), "pairs")
         own.drop(lists, long)
         gone = gone.unionByName(_verified(docs, firsts, pairs, percent, own)).distinct().withColumn("gone", F.lit(True))
 
         lost = firsts.join(gone, "cls", "left").where("gone or k > 1").select("cls", "first", "gone")
-        state = members.select("doc_id", "text_hash", "line_no", "cls").join(_small(own.table(lost, "lost")), "cls")
+        state = members.select("doc_id", "text_hash", "line_no", "cls").join(own.small(own.table(lost, "lost")), "cls")
         redundant = state.where(F.col("gone") | (F.col("first") != F.struct("doc_id", "text_hash", "line_no")))
         return own.keep(own.table(redundant.select("doc_id", "text_hash", "line_no"), "removed"))
 
@@ -219,9 +221,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = True) ->
     names = [c for c in docs.columns if c.lower() not in added]
     removed = removed_lines(docs, percent)
     gone = removed.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.struct("doc_id", "text_hash").alias("at"), "gone")
+    gone = F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone
     # Documents are one column of their own, so that no name of theirs can clash.
     own = docs.select(F.struct(*names).alias("own"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    joined = own.join(_small(gone), F.col("id").eqNullSafe(F.col("at.doc_id")) & (F.col("hash") == F.col("at.text_hash")), "left")
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("at.doc_id")) & (F.col("hash") == F.col("at.text_hash")), "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
     )

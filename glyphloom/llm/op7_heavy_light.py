@@ -202,16 +202,15 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Rows whose ``key`` is (not) in ``ids``; a small checked table of ids is broadcast, a larger one shuffled."""
-    small = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, key, how)
+def only(rows: DataFrame, ids: DataFrame, key: str, own: Scratch, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``key`` is (not) in the table ``ids``; a small one is broadcast, a larger one shuffled."""
+    return rows.join(own.small(ids, F.col(key), most=BROADCAST_IDS), key, how)
 
 
 def _paired(pairs: DataFrame, rows: DataFrame, value: str, own: Scratch) -> DataFrame:
     """a, b and both sides' n and ``value`` (as xn, yn, x, y) from ``rows`` (node, n, ``value``)."""
     ids = own.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    chosen = only(rows.select("node", "n", value), ids, "node")
+    chosen = only(rows.select("node", "n", value), ids, "node", own)
     left = chosen.select(F.col("node").alias("a"), F.col("n").alias("xn"), F.col(value).alias("x"))
     right = chosen.select(F.col("node").alias("b"), F.col("n").alias("yn"), F.col(value).alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xn", "yn", "x", "y")
@@ -248,7 +247,7 @@ def verified(texts: DataFrame, held: DataFrame, pairs: DataFrame, percent: int,
 
     left = own.table(_paired(pairs, held, "sketch", own).mapInArrow(plausible, "a bigint, b bigint"), "plausible")
     ids = own.table(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = own.table(only(texts, ids, "doc_id").mapInArrow(whole, "node bigint, n int, shingles binary"), "sets")
+    sets = own.table(only(texts, ids, "doc_id", own).mapInArrow(whole, "node bigint, n int, shingles binary"), "sets")
     found = own.table(_paired(left, sets, "shingles", own).mapInArrow(compare, "a bigint, b bigint"), "verified")
     own.drop(left, ids, sets)
     return found
@@ -288,7 +287,8 @@ def light_links(texts: DataFrame, nodes: DataFrame, largest: int, percent: int,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    keyed = own.table(only(texts, nodes, "doc_id").mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "subsets")
+    nodes = own.table(nodes, "light")
+    keyed = own.table(only(texts, nodes, "doc_id", own).mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "subsets")
     met = keyed.groupBy(*names[:4]).agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min("m").alias("m0"), F.max("m").alias("m1"))
     met = met.where("hub <> top and m0 = lo and m1 = hi").select(*names[:4], "hub")
     links = keyed.join(met, names[:4]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -335,7 +335,7 @@ def contracted(texts: DataFrame, held: DataFrame, long: DataFrame, links: DataFr
         best = near.groupBy("node", F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
         best = best.groupBy("node").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         pairs = own.table(best.select(F.col("node").alias("a"), "b"), "pairs")
-        compared = pairs.count()
+        compared = own.seen(pairs)["rows"]
         if not compared:
             break
         found = verified(texts, held, pairs, percent, own)
@@ -343,7 +343,7 @@ def contracted(texts: DataFrame, held: DataFrame, long: DataFrame, links: DataFr
         own.drop(pairs, labels, placed)
         labels = components(links, own)
         placed = _placed(long, labels, own)
-        if 2 * found.count() < compared:
+        if 2 * own.seen(found)["rows"] < compared:
             break
     return links, labels, placed
 
@@ -368,7 +368,7 @@ def _across(placed: DataFrame, largest: int, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _within(short: DataFrame, long: DataFrame, largest: int, percent: int) -> DataFrame:
+def _within(short: DataFrame, long: DataFrame, largest: int, percent: int, own: Scratch) -> DataFrame:
     """Pairs that share a short list and could share enough shingles."""
     na, nb = F.col("na"), F.col("nb")
     shared = (
@@ -376,8 +376,8 @@ def _within(short: DataFrame, long: DataFrame, largest: int, percent: int) -> Da
         .join(short.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb")), "shingle").where("a < b").where(_fits(largest, percent))
         .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
     )
-    in_long = long.select("node", "l").distinct()
-    in_long = F.broadcast(in_long) if in_long.count() <= BROADCAST_IDS else in_long
+    in_long = own.table(long.where("r = 1").select("node", "l"), "in-long")
+    in_long = own.small(in_long, most=BROADCAST_IDS)
     for end in ("a", "b"):
         shared = shared.join(in_long.select(F.col("node").alias(end), F.col("l").alias(f"l{end}")), end, "left")
     common = F.col("k") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
@@ -399,10 +399,10 @@ def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch)
     held = own.table(prefixes(texts, late, percent), "prefixes")
     entries = held.select("node", "n", "prefix").mapInArrow(_unfold, "shingle bigint, node bigint, n int")
     counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    lists = own.table(entries.join(counts, "shingle").select("shingle", "node", "n", "c"), "lists")
+    lists = own.table(entries.join(counts, "shingle").select("shingle", "node", "n", "c"), "lists", F.avg("c").alias("mean"))
 
     small = {r["n"]: r["k"] for r in held.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    mean = lists.agg(F.avg("c")).first()[0] or 0.0
+    mean = own.seen(lists)["mean"] or 0.0
     largest = light_boundary(small, mean, percent)
     links = light_links(texts, held.where(F.col("n") <= largest).select(F.col("node").alias("doc_id")), largest, percent, own)
 
@@ -415,7 +415,7 @@ def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch)
     long = long.withColumn("r", F.row_number().over(by_node.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(by_node))
     long = own.table(long.select("shingle", "node", "n", "e", "r", "l"), "long")
     links, labels, placed = contracted(texts, held, long, links, percent, own)
-    pairs = _within(lists.where(F.col("c") <= LONG), long, largest, percent).unionByName(_across(placed, largest, percent)).distinct()
+    pairs = _within(lists.where(F.col("c") <= LONG), long, largest, percent, own).unionByName(_across(placed, largest, percent)).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     pairs = own.table(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "pairs")
@@ -430,9 +430,9 @@ def _linked_rows(docs: DataFrame, percent: int, own: Scratch) -> DataFrame:
     members = full.select("doc_id", "n", "s1", "s2").join(own.table(classes.where("k > 1"), "classes"), ["n", "s1", "s2"], "left")
     members = members.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
     members = own.table(members.unionByName(sizes.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("node"))), "members")
-    copies = members.where("doc_id <> node or n = 0").select("doc_id")
-    texts = only(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
-    single = only(full.select("doc_id", "n", "some"), copies, "doc_id", "left_anti")
+    copies = own.table(members.where("doc_id <> node or n = 0").select("doc_id"), "copies")
+    texts = only(docs.where("doc_id is not null"), copies, "doc_id", own, "left_anti")
+    single = only(full.select("doc_id", "n", "some"), copies, "doc_id", own, "left_anti")
     labels = components(class_links(texts, single, percent, own), own)
     return members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
 
@@ -448,7 +448,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     with Scratch(docs.sparkSession) as own:
         named = docs.where("doc_id is not null").select("doc_id")
-        if named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        if (named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0) <= 1:
             out = _linked_rows(docs, percent, own)
         else:
             # Each different row is known by a number of its own, and linked to the first row of its id.
