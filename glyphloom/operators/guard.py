@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from glyphloom.functions.guard_rules import RULES, check_source, shown
 from glyphloom.sources.tables import python_sources
 
+#: What the command prints.
+SUMMARY = "Guard rule summary:"
+COUNTED = "  {rule}: {violations} violations"
+FAILED = "Guard checks failed:"
+PASSED = "Guard checks passed: no violations found."
+
 
 @F.udtf(returnType="rule string, line_no int, kind string, line string")
 class GuardFindings:
@@ -43,17 +49,17 @@ def run_guards(spark: SparkSession, root: str) -> int:
         print(f"no pyproject.toml in {root}", file=sys.stderr)
         return 1
     found = violations(python_sources(spark, root)).persist()
-    print("Guard rule summary:")
+    print(SUMMARY)
     for row in report(found).orderBy("rule_order").collect():
-        print(f"  {row['rule']}: {row['violations']} violations")
+        print(COUNTED.format(**row.asDict()))
     order = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
     bad = False
     for row in found.orderBy(order, "path", "line_no").toLocalIterator():
         if not bad:
-            print("Guard checks failed:", file=sys.stderr)
+            print(FAILED, file=sys.stderr)
         bad = True
         print(f"  {row['path'].removeprefix(root.rstrip('/') + '/')}:{row['line_no']}: {row['kind']} {shown(row['line'])}", file=sys.stderr)
     found.unpersist()
     if not bad:
-        print("Guard checks passed: no violations found.")
+        print(PASSED)
     return 2 if bad else 0
