@@ -2,7 +2,8 @@
 
 Grades come from the labels: 0 for low quality, 1 for good but toxic, 2 for good and clean. One weight vector over
 hashed text features gives a score s, and ordered thresholds t1 < t2 give P(grade >= k) = sigmoid(s - t_k). A
-document is kept if P(grade >= 1) is at least one half; the expected grade and P(grade >= 2) rank what is kept.
+document is kept if P(grade >= 2) is at least one half, so neither low quality nor toxic text is wanted; the expected
+grade and P(grade >= 1) rank what there is.
 """
 
 from __future__ import annotations
@@ -65,13 +66,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def slope(w: np.ndarray, theta: np.ndarray, row: np.ndarray, local: np.ndarray, value: np.ndarray, grade: np.ndarray, decay: float) -> np.ndarray:
+    """Gradient of the mean log likelihood less ``decay`` / 2 times the squared weights, by weights and ``theta``.
+
+    ``theta`` is the first threshold and the logarithm of the second one's distance from it.
+    """
+    n = len(grade)
+    score = np.bincount(row, value * w[local], minlength=n)
+    gap = np.exp(theta[1])
+    p1, p2 = sigmoid(score - theta[0]), sigmoid(score - theta[0] - gap)
+    # d log P / d score through each threshold, by grade: P is 1 - p1, p1 - p2, p2.
+    between = np.maximum(p1 - p2, 1e-9)
+    d1 = np.where(grade == 0, -p1, np.where(grade == 1, p1 * (1 - p1) / between, 0.0))
+    d2 = np.where(grade == 2, 1 - p2, np.where(grade == 1, -p2 * (1 - p2) / between, 0.0))
+    by_weight = np.bincount(local, value * (d1 + d2)[row], minlength=len(w)) / n - decay * w
+    return np.concatenate([by_weight, [-(d1 + d2).sum() / n, -d2.sum() / n * gap]])
+
+
 def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, steps: int = 400, decay: float = 2e-4) -> Model:
     """Maximum likelihood with a penalty on the weights, by Adam over all rows; thresholds stay ordered.
 
     ``row``, ``bucket``, ``value`` are the features and ``grade`` the grade of each row. Without rows, or with one
-    grade only, the weights stay 0 and the thresholds follow the smoothed shares of the grades.
+    grade only, the weights stay 0 and the thresholds follow the smoothed shares of the grades; without rows both
+    tails are one half.
     """
     n = len(grade)
+    if not n:
+        return Model(np.zeros(BUCKETS), np.zeros(GRADES - 1))
     share = np.array([(np.count_nonzero(grade >= k) + 1) / (n + 2) for k in range(1, GRADES)])
     start = -np.log(share / (1 - share))
     theta = np.array([start[0], np.log(max(start[1] - start[0], 0.1))])
@@ -86,18 +107,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarra
     w = np.zeros(len(used))
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for step in range(1, steps + 1):
-        score = np.bincount(row, value * w[local], minlength=n)
-        t1, t2 = theta[0], theta[0] + np.exp(theta[1])
-        p1, p2 = sigmoid(score - t1), sigmoid(score - t2)
-        # d log P / d score and the thresholds, by grade: 1 - p1, p1 - p2, p2.
-        between = np.maximum(p1 - p2, 1e-9)
-        g1, g2 = p1 * (1 - p1), p2 * (1 - p2)
-        d1 = np.where(grade == 0, -p1, np.where(grade == 1, g1 / between, 0.0))
-        d2 = np.where(grade == 2, 1 - p2, np.where(grade == 1, -g2 / between, 0.0))
-        gradient = np.empty(len(w) + 2)
-        gradient[:-2] = np.bincount(local, value * (d1 + d2)[row], minlength=len(w)) / n - decay * w
-        gradient[-2] = -(d1 + d2).sum() / n
-        gradient[-1] = -(d2.sum() / n) * np.exp(theta[1])
+        gradient = slope(w, theta, row, local, value, grade, decay)
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -181,7 +191,7 @@ def _scorer(model: Model, width: int, scores: list[str]) -> Callable[[Iterator[p
         for batch in batches:
             if batch.num_rows:
                 p = np.concatenate([tails(model, own) for _, own in words.chunks(batch.column(width))])
-                columns = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 0] >= 0.5)]
+                columns = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= 0.5)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], *scores])
 
     return run
@@ -195,7 +205,7 @@ def keep_rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         for batch in batches:
             if batch.num_rows:
                 text = batch.column(batch.schema.names.index("text"))
-                good = np.concatenate([tails(model, own)[:, 0] for _, own in words.chunks(text)]) >= 0.5
+                good = np.concatenate([tails(model, own)[:, 1] for _, own in words.chunks(text)]) >= 0.5
                 yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

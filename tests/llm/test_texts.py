@@ -261,3 +261,38 @@ def test_ordinal_features_do_not_depend_on_the_chunk():
     for k, text in enumerate(texts):
         _, b, v = ordinal.features(words.of_text(text))
         assert bucket[row == k].tolist() == b.tolist() and value[row == k].tolist() == v.tolist()
+
+
+def test_ordinal_slope_equals_finite_differences():
+    import math
+
+    rng = np.random.default_rng(4)
+    row, local, value = np.repeat(np.arange(12), 3), rng.integers(0, 5, 36), rng.random(36)
+    grade, w, theta, decay = rng.integers(0, 3, 12), rng.normal(size=5), np.array([-0.3, 0.2]), 0.01
+
+    def likelihood(x):
+        total = 0.0
+        for i in range(12):
+            s = sum(v * x[k] for r, k, v in zip(row, local, value) if r == i)
+            p1, p2 = 1 / (1 + math.exp(x[5] - s)), 1 / (1 + math.exp(x[5] + math.exp(x[6]) - s))
+            total += math.log((1 - p1, p1 - p2, p2)[grade[i]])
+        return total / 12 - decay / 2 * sum(k * k for k in x[:5])
+
+    x = np.concatenate([w, theta])
+    steps = np.eye(7) * 1e-6
+    wanted = [(likelihood(x + h) - likelihood(x - h)) / 2e-6 for h in steps]
+    assert np.allclose(ordinal.slope(w, theta, row, local, value, grade, decay), wanted, atol=1e-6)
+
+
+def test_ordinal_without_labels_keeps_all_and_columns_of_any_name_stay(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    clashing = docs.withColumnsRenamed({"n_lines": "kept", "rank": "p_good"})
+    out = ordinal.keep_rated(clashing, labels)
+    assert out.columns == clashing.columns and sorted(map(repr, out.collect())) == sorted(map(repr, clashing.collect()))
+    assert ordinal.keep_rated(none, labels).count() == 0
+
+
+def test_ordinal_fits_one_row_for_each_id(spark):
+    rows = spark.createDataFrame([(1, "good words here")] * 50 + [(2, "bad junk there"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert ordinal.train(rows, labels).thresholds[0] == pytest.approx(ordinal.train(rows.limit(0).unionByName(rows.distinct()), labels).thresholds[0])
