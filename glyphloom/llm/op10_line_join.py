@@ -1,4 +1,7 @@
-"""Line deduplication by an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication by an exact set-similarity join.
+
+The join is DataFrame operations only. Splitting lines into words and hashing their shingles is done by array
+operations in Arrow batches: as DataFrame functions it took more CPU time than the operator's budget leaves.
 
 A line is the set of the five-word shingles of its lower-cased words; a shorter line is one shingle of all its
 words. A line is removed if an earlier line, by document id and line number, has a Jaccard similarity of 0.8 or
@@ -14,45 +17,91 @@ compared with all earlier candidates in full.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphloom.llm.common import BROADCAST_ROWS, Scratch, table
+from glyphloom.llm.words import SHINGLE, Words, chunks, mix
 
 PERCENT = 80
 FREQUENT = 24
+_SEEDS = (np.uint64(0x6C62272E07BB0142), np.uint64(0x27D4EB2F165667C5))
 SAMPLED = 4  # shingles with hashes divisible by this show where frequent passages are
 
 
-def plain(text: Column) -> Column:
-    """A text in lower case, with blanks for tabs and other ASCII white space but line feeds."""
-    out = F.lower(text)
-    for blank in ("\t", "\r", "\x0b", "\x0c"):
-        out = F.replace(out, F.lit(blank), F.lit(" "))
-    return out
+def shingle_sets(lines: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all lines, one after another, and where each line's begin, and the end."""
+    counts = np.diff(lines.begin)
+    sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.concatenate([*lines.shingles(), np.zeros(0, np.uint64)]).view(np.int64)
+    cuts = ends.tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > 1:
+            values[a:b].sort()
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[ends[:-1][sizes > 0]] = True
+    return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[ends]
+
+
+def _lists_of(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
 
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``s``, the sorted distinct shingle hashes of ``line`` (of a plain text); empty for a line without words."""
-    words = F.array_remove(F.split("line", " "), "")
-    worded = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
-    five = "transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))"
-    shingles = F.when(F.size("h") >= 5, F.expr(five)).when(F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.expr("array()").cast("array<bigint>"))
-    return worded.withColumn("s", F.sort_array(F.array_distinct(shingles))).drop("h")
+    """``s``, the sorted distinct shingle hashes, instead of the column ``line`` (in lower case); lines without words go."""
+    kept = [c for c in lines.columns if c != "line"]
+    schema = T.StructType([*(lines.schema[c] for c in kept), T.StructField("s", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in chunks(batch.column("line")):
+                s, ends = shingle_sets(words)
+                worded = np.flatnonzero(np.diff(ends))
+                rows = pa.array(row + worded)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), _lists_of(s, np.diff(ends)[worded])], [*kept, "s"])
+
+    return lines.mapInArrow(run, schema)
+
+
+def _classed(lines: DataFrame, percent: int) -> DataFrame:
+    """Instead of ``line``: cls and second (hashes of the set of its shingles), n (its size), prefix (its first shingles); lines without words go."""
+    kept = [c for c in lines.columns if c != "line"]
+    more = [T.StructField("cls", T.LongType()), T.StructField("second", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*(lines.schema[c] for c in kept), *more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in chunks(batch.column("line")):
+                s, ends = shingle_sets(words)
+                sizes = np.diff(ends)
+                worded = np.flatnonzero(sizes)
+                if not len(worded):
+                    continue
+                n, begin = sizes[worded], ends[:-1][worded]
+                hashes = [mix(np.add.reduceat(mix(s.view(np.uint64) ^ seed), begin) + n.astype(np.uint64)).view(np.int64) for seed in _SEEDS]
+                heads = n - (n * percent + 99) // 100 + 1
+                prefix = s[np.arange(heads.sum()) + np.repeat(begin - np.cumsum(heads) + heads, heads)]
+                columns = [pa.array(hashes[0]), pa.array(hashes[1]), pa.array(n, pa.int32()), _lists_of(prefix, heads)]
+                rows = pa.array(row + worded)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in kept), *columns], schema.names)
+
+    return lines.mapInArrow(run, schema)
 
 
 def numbered_lines(docs: DataFrame, text: Column) -> DataFrame:
-    """Lines of all texts: doc_id, text_hash, line_no (from 0), line (of ``text``, the text or the plain one)."""
+    """Lines of all texts: doc_id, text_hash, line_no (from 0), line (of ``text``, the text or its lower case)."""
     return docs.where("text is not null").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
     )
 
 
-def class_hash() -> Column:
-    """What a line's class is known by, next to a second hash of its shingles."""
-    return F.xxhash64("s")
-
-
 def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
@@ -79,17 +128,14 @@ def _pairs(later: DataFrame, earlier: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, classes: DataFrame, own: Scratch) -> DataFrame:
-    """A table of cls and s of the ``classes`` (cls), read at their first lines; only the documents of these are split.
-
-    It is written at once: a filter that is pushed below the shingles would compute the words again for each shingle.
-    """
+    """A table of cls and s of the ``classes`` (cls), read at their first lines; only the documents of these are split."""
     places = own.table(firsts.join(own.small(classes), "cls").select("cls", "first.*"), "places")
     at = own.small(places, F.col("cls"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("line_no").alias("l"))
     texts = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     texts = texts.join(own.small(places, F.col("text_hash")), "text_hash", "left_semi").select("doc_id", "text")
     same = (F.col("text_hash") == F.col("t")) & (F.col("line_no") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    lines = numbered_lines(texts, F.col("text")).join(at, same).select("cls", plain(F.col("line")).alias("line"))
-    sets = own.table(with_shingles(lines).select("cls", "s"), "sets")
+    lines = numbered_lines(texts, F.col("text")).join(at, same).select("cls", F.lower("line").alias("line"))
+    sets = own.table(with_shingles(lines), "sets")
     own.drop(places)
     return sets
 
@@ -109,13 +155,7 @@ def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int
 
 def _members(docs: DataFrame, percent: int, own: Scratch) -> tuple[DataFrame, DataFrame]:
     """All lines with words (doc_id, text_hash, line_no, cls, n, prefix), and each class's first place, size and number of lines."""
-    n = F.size("s")
-    # No filter on the shingles here: pushed down, it would compute the words again for each shingle.
-    lines = with_shingles(numbered_lines(docs, plain(F.col("text")))).select(
-        "doc_id", "text_hash", "line_no", class_hash().alias("cls"), F.hash("s").alias("second"), n.alias("n"),
-        F.slice("s", 1, F.greatest(_prefix(n, percent), F.lit(0))).alias("prefix"),
-    )
-    members = own.table(lines, "lines").where("n > 0")
+    members = own.table(_classed(numbered_lines(docs, F.lower("text")), percent), "lines")
 
     def grouped(rows: DataFrame) -> DataFrame:
         first = F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")
