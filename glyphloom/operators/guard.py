@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
-from glyphloom.functions.guard_rules import RULES, check_source, shown
+from glyphloom.functions.guard_rules import RULES, Finding, Source, check_source, shown
 from glyphloom.sources.tables import python_sources
 
+Rules = dict[str, Callable[[Source], Iterator[Finding]]]
+
 #: What the command prints.
 SUMMARY = "Guard rule summary:"
 COUNTED = "  {rule}: {violations} violations"
@@ -19,26 +22,32 @@ FAILED = "Guard checks failed:"
 PASSED = "Guard checks passed: no violations found."
 
 
-@F.udtf(returnType="rule string, line_no int, kind string, line string")
-class GuardFindings:
-    """Table function: path and source of a file to its violations."""
+def findings(more: Rules | None = None) -> UserDefinedTableFunction:
+    """Table function: path and source of a file to its violations, of the rules there are and ``more``."""
+    rules = {**RULES, **(more or {})}
+
+    class Findings:
+        def eval(self, path: str, source: str) -> Iterator[tuple[str, int, str, str]]:
+            if path is not None and source is not None:
+                yield from check_source(path, source, rules)
+
+    return F.udtf(Findings, returnType="rule string, line_no int, kind string, line string")
 
-    def eval(self, path: str, source: str) -> Iterator[tuple[str, int, str, str]]:
-        if path is not None and source is not None:
-            yield from check_source(path, source)
 
+def violations(sources: DataFrame, more: Rules | None = None) -> DataFrame:
+    """path, rule, line_no, kind and line of every violation in ``sources`` (path, source).
 
-def violations(sources: DataFrame) -> DataFrame:
-    """path, rule, line_no, kind and line of every violation in ``sources`` (path, source)."""
+    ``more`` has further rules by name: functions from a ``Source`` to line number, kind and line of what they find.
+    """
     spark = sources.sparkSession
-    spark.udtf.register("guard_findings", GuardFindings)
+    spark.udtf.register("guard_findings", findings(more))
     sources.createOrReplaceTempView("_guard_sources")
     return spark.sql("SELECT s.path, f.rule, f.line_no, f.kind, f.line FROM _guard_sources s, LATERAL guard_findings(s.path, s.source) f")
 
 
-def report(found: DataFrame) -> DataFrame:
+def report(found: DataFrame, more: Rules | None = None) -> DataFrame:
     """Every rule in order with its number of violations, zero included."""
-    names = found.sparkSession.createDataFrame([(i, name) for i, name in enumerate(RULES)], "rule_order int, rule string")
+    names = found.sparkSession.createDataFrame([(i, name) for i, name in enumerate({**RULES, **(more or {})})], "rule_order int, rule string")
     counts = found.groupBy("rule").agg(F.count(F.lit(1)).alias("k"))
     return names.join(counts, "rule", "left").select("rule_order", "rule", F.coalesce("k", F.lit(0)).cast("long").alias("violations"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.operators import corpus, evaluation, guard, history, runs
-from glyphloom.plans import training
 from glyphloom.sources import vocab_json
 from glyphloom.sources.tables import documents, parquet_table
 
@@ -60,11 +59,6 @@ def _model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "v").agg(F.count(F.lit(1)).alias("n_tensors"), F.sum("t.size").alias("n_params")).withColumnRenamed("v", "vocab_size")
 
 
-def _lstm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole epochs over every language's corpus with the reference's cap, window, batch and number of epochs, on a small model (8 and 16 wide, one layer)."""
-    return training.lstm_histories(documents(spark, sf_dir), training.Config(seq_len=corpus.SEQ_LEN, batch=64, embed=8, hidden=16, epochs=3))
-
-
 def queries() -> dict[str, Query]:
     docs = {
         "corpus_stats": corpus.corpus_stats, "corpus_split": corpus.corpus_split, "vocab_build": corpus.vocabulary, "encode_oov": corpus.encode_oov,
@@ -85,7 +79,6 @@ def queries() -> dict[str, Query]:
         "guard_violations": _violations,
         "guard_report": lambda s, d: guard.report(_violations(s, d)),
         "model_params": _model_params,
-        "lstm_train": _lstm_train,
     }
 
 

@@ -108,12 +108,10 @@ def test_whole_epochs_are_trained(monkeypatch):
     assert training.train_texts({"train": "ab"}, config)[2] == (0.0, 1.0)
 
 
-def test_the_query_trains_on_every_language_and_all_of_its_text(spark, tmp_path):
-    from glyphloom.plans import catalog
-
+def test_every_language_is_trained_on_all_of_its_text(spark):
     texts = [(1, "ab" * 1600, "en"), (2, "cd" * 90 + "é", "en"), (3, "xyz" * 100, "es"), (4, "", "es"), (5, "kurz", "de")]
-    spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
-    rows = catalog.queries()["lstm_train"](spark, str(tmp_path)).collect()
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in texts], "doc_id bigint, text string, lang string")
+    rows = training.lstm_histories(docs, training.Config(seq_len=100, embed=8, hidden=16, epochs=1)).collect()
     assert {r["lang"]: r["vocab_size"] for r in rows} == {"en": 6, "es": 4, "de": 5}
     assert all(r["n_params"] == lstm.count_params(lstm.init_params(r["vocab_size"], 8, 16, 1)) for r in rows)
     assert all(r["train_loss"] > 0 for r in rows if r["lang"] != "de")
