@@ -237,6 +237,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         near = None
         for lead in (F.struct("first"), F.struct(-F.col("e") / _prefix(F.col("n"), percent), "first")):
             heads = long.groupBy("token").agg(F.min(F.struct(lead.alias("lead"), "cls", "n", "at", "first", "e")).alias("head")).select("token", "head.*")
+            heads = own.small(own.table(heads, "heads"))  # so that a long list's rows needn't meet in one task
             best = _pairs(long, heads, percent).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
             near = best if near is None else near.unionByName(best).distinct()
         gone = _verified(docs, firsts, own.table(near, "near"), percent, own)
