@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Languages with names, and the limits of fine-tuning.
@@ -29,6 +29,11 @@ def suffix(path: Column) -> Column:
     return F.regexp_extract(F.regexp_extract(path, "([^/]+)$", 1), r".(\.[^.]*)$", 1)
 
 
+def folder(path: Column) -> Column:
+    """What comes before a file's name, with the last slash."""
+    return F.regexp_extract(path, "^(.*/)?[^/]+$", 1)
+
+
 def run_registry(runs: DataFrame) -> DataFrame:
     """Names and paths of each run: from scratch ``lang-train``, fine-tuned ``base->lang`` with a capped learning rate."""
     spark = runs.sparkSession
@@ -45,16 +50,24 @@ def run_registry(runs: DataFrame) -> DataFrame:
     )
 
 
-def next_version(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """The first free path for each ``base``: itself, else ``stem.ft1.suffix``, ``stem.ft2.suffix`` and so on, gaps first.
+def _versions(existing: DataFrame) -> DataFrame:
+    """base and i of every path there is: it is version 0 of itself and, by its name, maybe version i of another."""
+    name, end, number = stem(F.col("path")), suffix(F.col("path")), r"\.ft([1-9][0-9]*)$"
+    # The version of a name without a suffix has its number where others have their suffix.
+    bare = end.rlike("^" + number)
+    i = F.when(bare, F.regexp_extract(end, number, 1)).otherwise(F.regexp_extract(name, number, 1)).try_cast("bigint")
+    base = F.concat(folder(F.col("path")), F.when(bare, name).otherwise(F.concat(F.regexp_replace(name, number, ""), end)))
+    own = existing.select(F.col("path").alias("base"), F.lit(0).cast("bigint").alias("i"))
+    return own.unionByName(existing.select(base.alias("base"), i.alias("i")).where("i is not null")).distinct()
 
-    Among one name more than exist there is a free one.
-    """
+
+def next_version(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """The first free path for each ``base``: itself, else ``stem.ft1.suffix``, ``stem.ft2.suffix`` and so on, gaps first."""
+    wanted = wanted.select("base").distinct()
+    held = _versions(existing).join(wanted, "base", "left_semi")
+    # Versions count up without a gap as long as each is its own rank.
+    ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("base").orderBy("i")) - 1)
+    taken = ranked.where("i = rank").groupBy("base").agg(F.count(F.lit(1)).alias("i"))
     path = F.col("base")
-    folder = F.regexp_extract(path, "^(.*/)?[^/]+$", 1)
-    n = existing.count()
-    named = wanted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n + 1))))
-    version = F.concat(folder, stem(path), F.lit(".ft"), F.col("i").cast("string"), suffix(path))
-    named = named.withColumn("path", F.when(F.col("i") == 0, path).otherwise(version))
-    free = named.join(existing, "path", "left_anti")
-    return free.groupBy("base").agg(F.min_by("path", "i").alias("path"))
+    version = F.concat(folder(path), stem(path), F.lit(".ft"), F.col("i").cast("string"), suffix(path))
+    return wanted.join(taken, "base", "left").select("base", F.when(F.col("i") > 0, version).otherwise(path).alias("path"))

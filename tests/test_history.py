@@ -72,6 +72,13 @@ def test_next_version_is_the_first_gap(spark, existing, expected):
     assert runs.next_version(spark.createDataFrame([("model.pt",)], "base string"), have).first()["path"] == expected
 
 
+def test_versions_of_names_with_and_without_folder_and_suffix(spark):
+    have = spark.createDataFrame([(p,) for p in ("a/m.pt", "a/m.ft1.pt", "m.ft1.pt", "n", "n.ft1", "n.ft02", "n.ft3", "b/m.pt", "b/m.pt", "b/m.ft99999999999999999999.pt")], "path string")
+    bases = spark.createDataFrame([(p,) for p in ("a/m.pt", "m.pt", "m.ft1.pt", "n", "b/m.pt", "n")], "base string")
+    got = {r["base"]: r["path"] for r in runs.next_version(bases, have).collect()}
+    assert got == {"a/m.pt": "a/m.ft2.pt", "m.pt": "m.pt", "m.ft1.pt": "m.ft1.ft1.pt", "n": "n.ft2", "b/m.pt": "b/m.ft1.pt"}
+
+
 def test_vocabulary_file_round_trip(tmp_path):
     path = tmp_path / "a" / "b" / "vocab.json"
     vocab_json.save({0: "a", 1: "é", 2: "<unk>"}, path)
