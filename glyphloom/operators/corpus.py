@@ -24,7 +24,7 @@ def positioned(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 
     Documents beyond the cap go, and the one that it cuts is shortened.
     """
-    placed = running_total(docs.withColumn("len", F.length("text").cast("long")), ["lang"], "doc_id", F.col("len"), "off", "total")
+    placed = running_total(docs.withColumn("len", F.length("text").cast("long")), ["lang"], "doc_id", F.col("len"), "off", "total", below=max_chars)
     kept = placed.where((F.col("off") < max_chars) & (F.col("len") > 0)).withColumn("keep", F.least(F.col("len"), F.lit(max_chars) - F.col("off")))
     text = F.when(F.col("keep") < F.col("len"), F.substring("text", F.lit(1), F.col("keep").cast("int"))).otherwise(F.col("text"))
     return kept.select("doc_id", "lang", text.alias("text"), "off", F.col("keep").alias("len"), F.least("total", F.lit(max_chars)).cast("long").alias("n"))

@@ -91,3 +91,17 @@ def test_text_files_get_line_feeds(spark, tmp_path):
 def test_manifest_rows(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"generated_at": "t",\n "results": {"tr": {"ipa_characters": 5, "lines_written": 2, "output_file": "f"}}}')
     assert [tuple(r) for r in manifest(spark, str(tmp_path / "m.json")).collect()] == [("tr", 5, 2, "f")]
+
+
+def test_ranges_past_the_cap_are_left_out_before_rows_move(spark):
+    rows = [(i * 3000, "en", "x" * (i % 7)) for i in range(60)] + [(5, "fr", ""), (9000, "fr", "abc"), (1, "de", "long" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    for most in (1, 20, 100, 10_000):
+        off, wanted = {}, []
+        total = {lang: sum(len(t) for _, x, t in rows if x == lang) for lang in ("en", "fr", "de")}
+        for i, lang, text in sorted(rows):
+            at = off.get(lang, 0)
+            off[lang] = at + len(text)
+            if text and at < most:
+                wanted.append((i, lang, text[: most - at], at, min(len(text), most - at), min(total[lang], most)))
+        assert sorted(map(tuple, corpus.positioned(docs, most).collect())) == sorted(wanted)
