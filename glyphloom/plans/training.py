@@ -158,6 +158,18 @@ def language_samples(docs: DataFrame, lang: str, config: Config, max_chars: int)
     return windows(own, config.seq_len, config.batch, max_chars).select("split", "i", "x", "y"), max(size, 1)
 
 
+def samples_of(ids: np.ndarray, length: int) -> np.ndarray:
+    """All runs of ``length`` ids and the one after them, stride 1."""
+    return np.lib.stride_tricks.sliding_window_view(ids, length + 1) if len(ids) > length else np.zeros((0, length + 1), np.int64)
+
+
+def mean_loss(params: lstm.Params, samples: np.ndarray, batch: int) -> tuple[float, float]:
+    """Unweighted mean of batch means without dropout, and its exponential; (0, 1) without samples."""
+    parts = [samples[at : at + batch] for at in range(0, len(samples), batch)]
+    means = [lstm.cross_entropy(lstm.forward(params, rows[:, :-1])[0], rows[:, 1:])[0] for rows in parts]
+    return (float(np.mean(means)), float(np.exp(np.mean(means)))) if means else (0.0, 1.0)
+
+
 def train_texts(texts: dict[str, str], config: Config) -> tuple[int, lstm.Params, tuple[float, float], list[dict]]:
     """Train on the splits' texts in this process: vocabulary size, best weights, test loss and perplexity, and a row per epoch.
 
@@ -165,15 +177,8 @@ def train_texts(texts: dict[str, str], config: Config) -> tuple[int, lstm.Params
     the one before, so that a Spark job for each of a whole epoch's steps would only add its start.
     """
     alphabet = "".join(sorted(set("".join(texts.values()))))
-    size, length = len(alphabet) + 1, config.seq_len
-    ids = {s: encode(texts.get(s, ""), alphabet) for s in SPLITS}
-    seen = {s: np.lib.stride_tricks.sliding_window_view(v, length + 1) if len(v) > length else np.zeros((0, length + 1), np.int64) for s, v in ids.items()}
-
-    def held_out(split: str, params: lstm.Params) -> tuple[float, float]:
-        own = [seen[split][at : at + config.batch] for at in range(0, len(seen[split]), config.batch)]
-        means = [lstm.cross_entropy(lstm.forward(params, rows[:, :-1])[0], rows[:, 1:])[0] for rows in own]
-        return (float(np.mean(means)), float(np.exp(np.mean(means)))) if means else (0.0, 1.0)
-
+    size = len(alphabet) + 1
+    seen = {s: samples_of(encode(texts.get(s, ""), alphabet), config.seq_len) for s in SPLITS}
     params = lstm.init_params(size, config.embed, config.hidden, config.layers, config.seed)
     optimiser, best, best_loss, idle, history = lstm.Adam(config.lr), params, float("inf"), 0, []
     for epoch in range(1, config.epochs + 1):
@@ -184,7 +189,7 @@ def train_texts(texts: dict[str, str], config: Config) -> tuple[int, lstm.Params
             loss, grads = lstm.loss_and_gradients(params, rows[:, :-1], rows[:, 1:])
             params = optimiser.step(params, lstm.clipped(grads))
             losses.append(loss)
-        val_loss, _ = held_out("val", params)
+        val_loss, _ = mean_loss(params, seen["val"], config.batch)
         if val_loss < best_loss:
             best, best_loss, idle = params, val_loss, 0
         else:
@@ -192,7 +197,7 @@ def train_texts(texts: dict[str, str], config: Config) -> tuple[int, lstm.Params
         history.append({"epoch": epoch, "train_loss": sum(losses) / max(1, len(losses)), "val_loss": val_loss, "best_val_loss": best_loss})
         if idle >= config.patience:
             break
-    return size, best, held_out("test", best), history
+    return size, best, mean_loss(best, seen["test"], config.batch), history
 
 
 def lstm_histories(docs: DataFrame, config: Config, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -40,7 +40,7 @@ def test_names_and_versions(tmp_path):
 
 def test_an_epoch_visits_every_window_once_and_flushes_figures():
     ids = np.arange(100) % 5
-    samples = experiment._seen(ids, 8)
+    samples = experiment.samples_of(ids, 8)
     state = experiment.State(lstm.init_params(5, 6, 8, 2), lstm.Adam(1e-2), step=3)
     after, loss, rows = experiment.train_epoch(samples, state, 1, SMALL, freeze=True)
     assert len(samples) == 92 and after.step == 3 + 3 and [r["global_step"] for r in rows] == [5, 6]
