@@ -6,13 +6,14 @@ for it. Two sets of sizes n and m link when they share ``need(n, m)`` shingles.
 Light sets (up to a size that a cost estimate chooses) emit all their subsets of exactly the size that a partner
 of each possible size needs; two sets that meet in a subset link without further ado. Heavy sets go to inverted
 lists of their prefixes: the first shingles in a global order that leave too few others for a link. Shingles of
-lines and passages that many texts share come last in that order, the others follow their hashes; any order gives the same
-links, this one keeps lists short. Light sets that a heavy one may link to are in the lists too.
+lines and passages that many texts share come last in that order, and so do those that still crowd the prefixes of a sample of
+the documents; the others follow their hashes. Any order gives the same links, this one keeps lists short, however many
+documents there are. Light sets that a heavy one may link to are in the lists too.
 
 Long lists mostly belong to groups of near copies. They are first contracted: members are compared with one hub
 of the list, and the components of the links found are what later rounds see, so that no pair within a
-component is ever formed. At the end all pairs of different components that share a list, and have enough common
-prefix shingles, are compared exactly.
+component is ever formed. At the end all pairs of different components that share a list, could have enough common
+prefix shingles and aren't told apart by the parities of their shingles' last bits, are compared exactly.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ PASSAGES = 50_000  # such shingles at most
 LINES = 20_000  # lines at most whose shingles come last: an order may leave any out
 LATE = 2_000_000  # shingles at most that come last
 BROADCAST_IDS = 500_000  # ids at most that are sent to every executor; more are joined by shuffle
+DRAWN = 8  # documents with ids whose hashes are divisible by this show which shingles crowd the prefixes
+CROWDED = 8  # drawn prefixes that hold a shingle before it comes last
+PARITIES = 512  # bits of a set's parities
 LONG = 24  # members of a list that is contracted first
 ROUNDS = 5
 LARGEST_LIGHT = 12
@@ -162,15 +166,25 @@ def most_common(x: bytes, y: bytes) -> int | None:
     return int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles with each value of their last bits is odd, as 64-bit words.
+
+    Two sets differ in at least as many shingles as their parities in bits.
+    """
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(texts: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
-    """node, n, the prefix of each document's set as bytes, and its sketch."""
+    """node, n, the prefix of each document's set as bytes, its sketch and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, out, sketches = [], [], []
+            n, out, sketches, odd = [], [], [], []
             for own in _sets(batch.column(1)):
                 size = prefix_length(len(own), percent) if len(own) else 0
                 sketches.append(sketch(own))
+                odd.append(parities(own))
                 if len(late) and len(own):
                     at = np.minimum(np.searchsorted(late, own), len(late) - 1)
                     last = late[at] == own
@@ -178,10 +192,14 @@ def prefixes(texts: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
                 n.append(len(own))
                 out.append(own[:size].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(sketches, pa.binary())], ["node", "n", "prefix", "sketch"]
+                [
+                    batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.binary()), pa.array(sketches, pa.binary()),
+                    pa.array(odd, pa.list_(pa.int64())),
+                ],
+                ["node", "n", "prefix", "sketch", "odd"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, n int, prefix binary, sketch binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, n int, prefix binary, sketch binary, odd array<bigint>")
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +220,40 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _entries(held: DataFrame) -> DataFrame:
+    """shingle, node and n of each shingle of the prefixes."""
+    return held.select("node", "n", "prefix").mapInArrow(_unfold, "shingle bigint, node bigint, n int")
+
+
+def thinned(texts: DataFrame, late: np.ndarray, percent: int, own: Scratch) -> DataFrame:
+    """Prefixes in an order in which shingles that crowd the prefixes of drawn documents come last too.
+
+    Only documents with such a shingle in their prefix get another one: elsewhere it stands after the prefix, and still does.
+    """
+    held = own.table(prefixes(texts, late, percent), "prefixes")
+    drawn = _entries(held.where(F.pmod(F.xxhash64("node"), F.lit(DRAWN)) == 0))
+    known = F.count(F.lit(1)).alias("c")
+    crowded = drawn.groupBy("shingle").agg(known).where(F.col("c") >= CROWDED).orderBy(F.desc("c"), "shingle").limit(LATE).select("shingle").toPandas()
+    crowded = np.setdiff1d(np.array(crowded["shingle"], dtype=np.int64).view(np.uint64), late)
+    if not len(crowded):
+        return held
+
+    def has(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for x in batch.column(1):
+                run = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                hit.append(bool((crowded[np.minimum(np.searchsorted(crowded, run), len(crowded) - 1)] == run).any()))
+            yield batch.select(["node"]).filter(pa.array(hit, pa.bool_()))
+
+    moved = own.table(held.select("node", "prefix").mapInArrow(has, "node bigint").withColumnRenamed("node", "doc_id"), "moved")
+    again = prefixes(only(texts, moved, "doc_id", own), np.union1d(late, crowded), percent)
+    stay = held.withColumnRenamed("node", "doc_id")
+    out = own.table(only(stay, moved, "doc_id", own, "left_anti").withColumnRenamed("doc_id", "node").unionByName(again), "prefixes")
+    own.drop(held, moved)
+    return out
+
+
 def only(rows: DataFrame, ids: DataFrame, key: str, own: Scratch, how: str = "left_semi") -> DataFrame:
     """Rows whose ``key`` is (not) in the table ``ids``; a small one is broadcast, a larger one shuffled."""
     return rows.join(own.small(ids, F.col(key), most=BROADCAST_IDS), key, how)
@@ -348,15 +400,17 @@ def contracted(texts: DataFrame, held: DataFrame, long: DataFrame, links: DataFr
     return links, labels, placed
 
 
-def _across(placed: DataFrame, largest: int, percent: int) -> DataFrame:
+def _across(placed: DataFrame, held: DataFrame, largest: int, percent: int, own: Scratch) -> DataFrame:
     """Pairs of different components that share a long list and could share enough shingles.
 
-    Of two components that meet in a list at most one is the list's largest, so the other's members are enough on one side.
+    A pair whose parities (``odd`` of ``held``) differ in more bits than a link leaves different shingles is never formed. Of two components that meet in a list at most one is the list's largest, so the other's members are enough on one side.
     """
+    ids = own.table(placed.select("node").distinct(), "ids")
+    placed = own.table(placed.join(only(held.select("node", "odd"), ids, "node", own), "node"), "placed")
     largest_part = placed.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("comp", F.struct("k", "comp")).alias("big"))
     minor = placed.join(largest_part, "shingle").where("comp <> big")
     sides = {
-        end: rows.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in "nerl"))
+        end: rows.select("shingle", F.col("comp").alias(part), F.col("node").alias(end), *(F.col(c).alias(f"{c}{end}") for c in ("n", "e", "r", "l", "odd")))
         for rows, part, end in ((minor, "p", "a"), (placed, "q", "b"))
     }
     least = _common_prefix(F.col("na"), F.col("nb"), percent)
@@ -364,7 +418,9 @@ def _across(placed: DataFrame, largest: int, percent: int) -> DataFrame:
     most = F.greatest(least - F.least(F.col("ea") - F.col("la"), F.col("eb") - F.col("lb")), F.lit(1))
     early = (F.col("ra") <= F.col("la") - most + 1) & (F.col("rb") <= F.col("lb") - most + 1)
     fits = _fits(largest, percent) & (F.least("ea", "eb") >= least)
-    pairs = sides["a"].join(sides["b"], "shingle").where("p <> q").where(fits & early)
+    apart = sum((F.bit_count(F.col("odda")[k].bitwiseXOR(F.col("oddb")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    near = apart <= F.col("na") + F.col("nb") - 2 * F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    pairs = sides["a"].join(sides["b"], "shingle").where("p <> q").where(fits & early & near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -396,8 +452,8 @@ def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch)
     ``texts`` (doc_id, text) has each id once, ``sizes`` (doc_id, n, some) the same documents.
     """
     late = np.union1d(late_shingles(texts, own), passage_shingles(texts, sizes))
-    held = own.table(prefixes(texts, late, percent), "prefixes")
-    entries = held.select("node", "n", "prefix").mapInArrow(_unfold, "shingle bigint, node bigint, n int")
+    held = thinned(texts, late, percent, own)
+    entries = _entries(held)
     counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     lists = own.table(entries.join(counts, "shingle").select("shingle", "node", "n", "c"), "lists", F.avg("c").alias("mean"))
 
@@ -415,7 +471,7 @@ def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch)
     long = long.withColumn("r", F.row_number().over(by_node.orderBy("shingle"))).withColumn("l", F.count(F.lit(1)).over(by_node))
     long = own.table(long.select("shingle", "node", "n", "e", "r", "l"), "long")
     links, labels, placed = contracted(texts, held, long, links, percent, own)
-    pairs = _within(lists.where(F.col("c") <= LONG), long, largest, percent, own).unionByName(_across(placed, largest, percent)).distinct()
+    pairs = _within(lists.where(F.col("c") <= LONG), long, largest, percent, own).unionByName(_across(placed, held, largest, percent, own)).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     pairs = own.table(pairs.where("of_a is null or of_b is null or of_a <> of_b").select("a", "b"), "pairs")

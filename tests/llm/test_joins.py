@@ -85,6 +85,43 @@ def test_sketches_never_lose_a_shingle():
     assert join.most_common(join.sketch(np.zeros(300, np.uint64)), join.sketch(both)) is None
 
 
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(6)
+    for n, m, shared in ((3, 5, 2), (40, 44, 30), (900, 30, 20), (5000, 5200, 4800), (400, 400, 0)):
+        both = rng.integers(0, 1 << 64, shared, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, k - shared, dtype=np.uint64)])) for k in (n, m))
+        bits = sum(int(a ^ b).bit_count() for a, b in zip(*(join.parities(v).view(np.uint64) for v in (x, y))))
+        assert bits <= len(np.setxor1d(x, y)) and (n, m) != (400, 400) or bits > 88
+    assert not join.parities(np.zeros(0, np.uint64)).any() and len(join.parities(x)) * 64 == join.PARITIES
+
+
+def test_members_of_a_long_list_that_cannot_link_make_no_pairs(spark):
+    """Of a list with 60 members of 60 components only the two that link are paired, not all 1,770 pairs."""
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 64, 200, dtype=np.uint64) for _ in range(59)]
+    sets.append(np.concatenate([sets[0][:195], sets[1][:5]]))
+    placed = spark.createDataFrame([(1, i, 200, 40, 1, 40, i) for i in range(60)], "shingle bigint, node bigint, n int, e bigint, r int, l bigint, comp bigint")
+    held = spark.createDataFrame([(i, join.parities(x).tolist()) for i, x in enumerate(sets)], "node bigint, odd array<bigint>")
+    with Scratch(spark) as own:
+        assert [tuple(r) for r in join._across(placed, held, 12, 80, own).collect()] == [(0, 59)]
+
+
+def test_shingles_that_crowd_prefixes_come_last(spark, monkeypatch):
+    """A phrase of five words is too short to be found as a passage; documents have enough others for their prefixes."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.sample([f"u{i}x{k}" for k in range(60)] + ["one two three four five"] * 1, 61))) for i in range(100)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(join, "DRAWN", 1)
+    shared = next(join._sets(join.pa.array(["one two three four five"])))
+    monkeypatch.setattr(join, "prefix_length", lambda n, percent=80: n - 1)  # else it seldom gets there
+    with Scratch(spark) as own:
+        late = np.zeros(0, np.uint64)
+        plain, thin = (df.collect() for df in (join.prefixes(texts, late, 80), join.thinned(texts, late, 80, own)))
+        in_prefix = [sum(int(shared[0]) in np.frombuffer(r["prefix"], np.uint64).tolist() for r in rows) for rows in (plain, thin)]
+        assert in_prefix[0] > 80 and in_prefix[1] == 0
+        assert sorted(r["node"] for r in thin) == list(range(100)) and {len(r["prefix"]) for r in thin} == {len(r["prefix"]) for r in plain}
+
+
 def test_only_what_the_result_reads_is_left(spark, docs):
     def tables():
         where = scratch_dir(spark).removeprefix("file://").removeprefix("file:")
