@@ -17,14 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import Scratch, table
+from glyphloom.llm.common import Scratch, settings, table
 from glyphloom.llm.components import components
 
 COSINE = 0.9
 SHARDS = 8  # at least; more so that a shard holds about SHARD_NUMBERS components of vectors, whatever their length
 SHARD_NUMBERS = 6_400_000
-QUERY_NUMBERS = 1 << 20  # components of the queries that go to a shard in one row; a shard's graph is sent once for each such row
+QUERY_NUMBERS = 1 << 21  # components of the queries that go to a shard in one row; a shard's graph is sent once for each such row
 BLOCK = 2_048  # queries searched together
+GATHERED = 1 << 22  # components of neighbours that are gathered at a time when lists are selected anew
+#: A row with a graph or a block of queries has a file of its own, so that a reader never holds several of them.
+_APART = {"spark.sql.files.maxRecordsPerFile": "1"}
 LINKS = 12  # neighbours kept on upper layers, twice as many at the bottom
 BUILD_BEAM = 48
 BEAM = 32
@@ -53,6 +56,16 @@ class Graph:
             self._insert(batch)
             done += len(batch)
 
+    def __getstate__(self) -> dict:
+        """Without the vectors, which whoever reads the graph has, and without rows of upper layers for vectors that aren't there."""
+        return {**self.__dict__, "vectors": None, "layers": [layer[m] for layer, m in zip(self.layers, self.members)]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        for k, own in enumerate(self.layers):
+            self.layers[k] = np.full((len(self.levels), own.shape[1]), -1, dtype=np.int32)
+            self.layers[k][self.members[k]] = own
+
     def _insert(self, batch: np.ndarray) -> None:
         """Add vectors: search the graph so far, and the batch itself, for neighbours on each layer."""
         queries = self.vectors[batch]
@@ -108,9 +121,12 @@ class Graph:
         own = slot < width
         fresh[np.repeat(np.arange(len(heads)), counts)[own], slot[own]] = source[own]
         all_ids = np.concatenate([table[heads].astype(np.int64), fresh], axis=1)
-        sims = np.einsum("ijk,ik->ij", self.vectors[np.maximum(all_ids, 0)], self.vectors[heads])
-        sims[all_ids < 0] = -2
-        table[heads] = self._select(all_ids, sims, table.shape[1])
+        step = max(1, GATHERED // (all_ids.shape[1] * self.vectors.shape[1]))
+        for at in range(0, len(heads), step):
+            own_heads, ids = heads[at : at + step], all_ids[at : at + step]
+            sims = np.einsum("ijk,ik->ij", self.vectors[np.maximum(ids, 0)], self.vectors[own_heads])
+            sims[ids < 0] = -2
+            table[own_heads] = self._select(ids, sims, table.shape[1])
 
     def search_layer(self, queries: np.ndarray, entries: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The best ``beam`` vectors found for each query, with similarities, nearest first; -1 and -2 where there are fewer."""
@@ -229,21 +245,31 @@ def audited_pairs(
     return q[good], v[good], beam
 
 
-def _units(rows: pd.Series) -> np.ndarray:
-    """Unit vectors in double precision."""
+def _numbers(rows: pd.Series) -> np.ndarray:
+    """Vectors as they are, in single precision if that holds every number exactly: half as much to send."""
     x = np.array(rows.tolist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return short if (short == x).all() else x
+
+
+def _units(numbers: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = numbers.astype(np.float64)
+    x /= np.maximum(x.max(axis=1), -x.min(axis=1))[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
 def _build(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """One shard: its graph, the smallest member of each vector's component within the shard, and the beam."""
     group = group.sort_values("rep", kind="stable")
-    ids, units = group["rep"].to_numpy(dtype=np.int64), _units(group["embedding"])
+    ids, numbers = group["rep"].to_numpy(dtype=np.int64), _numbers(group["embedding"])
+    units = _units(numbers)
     graph = Graph(units)
     q, v, beam = audited_pairs(graph, units, ids, units, ids, least, BEAM)
     root = ids[shard_components(len(ids), q, v)]
-    state = pickle.dumps((graph, units, ids, group["w"].to_numpy(dtype=np.int64), root, beam))
+    state = pickle.dumps((graph, numbers, ids, group["w"].to_numpy(dtype=np.int64), root, beam))
     own = root != ids
     return pd.DataFrame(
         {"dim": [group["dim"].iat[0]], "shard": [group["shard"].iat[0]], "state": [state], "a": [ids[own].tolist()], "b": [root[own].tolist()]}
@@ -251,7 +277,7 @@ def _build(group: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    packed = pickle.dumps((group["rep"].to_numpy(dtype=np.int64), _units(group["embedding"])))
+    packed = pickle.dumps((group["rep"].to_numpy(dtype=np.int64), _numbers(group["embedding"])))
     return pd.DataFrame({"dim": [group["dim"].iat[0]], "block": [group["block"].iat[0]], "queries": [packed]})
 
 
@@ -260,11 +286,13 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFra
     if left.empty or right.empty:
         return pd.DataFrame({"a": [], "b": [], "n": []})
     query_ids, queries = pickle.loads(left["queries"].iat[0])
-    graph, units, ids, weights, root, beam = pickle.loads(right["state"].iat[0])
+    graph, numbers, ids, weights, root, beam = pickle.loads(right["state"].iat[0])
+    units = _units(numbers)
+    graph.vectors = units.astype(np.float32)
     parts = []
     for at in range(0, len(queries), BLOCK):
         own_ids = query_ids[at : at + BLOCK]
-        q, v, _ = audited_pairs(graph, units, ids, queries[at : at + BLOCK], own_ids, least, beam)
+        q, v, _ = audited_pairs(graph, units, ids, _units(queries[at : at + BLOCK]), own_ids, least, beam)
         n = np.bincount(q, weights[v], minlength=len(own_ids)).astype(np.int64)
         met = np.unique(np.stack([own_ids[q], root[v]]), axis=1)
         some = n > 0
@@ -302,9 +330,11 @@ def _linked(vectors: DataFrame, least: float, shards: int, own: Scratch) -> Data
     graphs = dealt.groupBy("dim", "shard").applyInPandas(
         lambda g: _build(g, least), "dim int, shard int, state binary, a array<bigint>, b array<bigint>"
     )
-    graphs = own.table(graphs, "graphs")
+    with settings(classes.sparkSession, _APART):
+        graphs = own.table(graphs, "graphs")
     packed = classes.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int"))
-    packed = own.table(packed.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary"), "blocks")
+    with settings(classes.sparkSession, _APART):
+        packed = own.table(packed.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, queries binary"), "blocks")
     left = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     right = graphs.select("dim", "shard", "state", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     key = ["dim", "shard", "block"]

@@ -1,4 +1,8 @@
+import pickle
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
 from glyphloom.llm import op4_hnsw as hnsw
 
@@ -70,3 +74,21 @@ def test_audit_draws_queries_until_it_has_links_to_others(monkeypatch):
     monkeypatch.setattr(hnsw.Graph, "linked", narrow)
     q, v, beam = hnsw.audited_pairs(graph, units, ids, units, ids, 0.9, 8)
     assert beam == 64 and {(a, b), (b, a)} <= set(zip(q.tolist(), v.tolist()))
+
+
+def test_graphs_are_sent_small_and_built_in_bounded_memory(monkeypatch):
+    """Single precision is sent where it is exact, without a second copy of the vectors; wide vectors aren't gathered all at once."""
+    rng = np.random.default_rng(2)
+    single = rng.normal(size=(600, 256)).astype(np.float32).astype(float)
+    group = pd.DataFrame({"rep": np.arange(600), "w": 1, "dim": 256, "shard": 0, "embedding": list(single)})
+    monkeypatch.setattr(hnsw, "GATHERED", 1 << 17, raising=False)
+    tracemalloc.start()
+    state = hnsw._build(group, 0.9)["state"][0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(state) < 1.4 * single.nbytes / 2 and peak < 40e6, (len(state), peak)
+    block = hnsw._pack(group.assign(block=0))["queries"][0]
+    assert len(block) < 1.1 * single.nbytes / 2
+    exact = group.assign(embedding=list(single + 1e-12))
+    numbers = pickle.loads(hnsw._pack(exact.assign(block=0))["queries"][0])[1]
+    assert numbers.dtype == np.float64 and (numbers == single + 1e-12).all()
