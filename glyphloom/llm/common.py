@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import TracebackType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ ROWS_PER_BUCKET = 20_000
 BROADCAST_ROWS = 500_000  # keys at most that go to every executor
 #: Batches between Spark and Python: rows hold whole texts, and batches live outside the heap.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+RELEASED = 16  # batches after which a Python worker gives unused memory back
 #: Shuffle files of a scratch table's job go as soon as the table is written, not when the driver collects its garbage.
 _CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _own_dirs: dict[str, str] = {}
@@ -37,6 +41,27 @@ def modest_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but don't use: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives unused memory back after each ``RELEASED`` batches and at its end."""
+
+    @functools.wraps(run)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(run(batches), 1):
+            yield batch
+            if k % RELEASED == 0:
+                give_back()
+        give_back()
+
+    return own
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, held: dict[str, str]) -> Iterator[None]:
     """Settings that hold within the block only."""

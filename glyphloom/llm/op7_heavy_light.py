@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm import words
-from glyphloom.llm.common import Scratch, table
+from glyphloom.llm.common import Scratch, table, thrifty
 from glyphloom.llm.components import components
 
 PERCENT = 80
@@ -124,7 +124,7 @@ def passage_shingles(texts: DataFrame, sizes: DataFrame) -> np.ndarray:
                         np.add.at(edge, np.minimum(at + AROUND + 1, len(run)), -1)
                         yield pa.RecordBatch.from_arrays([pa.array(_signed(np.unique(run[np.cumsum(edge[:-1]) > 0])))], ["shingle"])
 
-    shown = texts.join(F.broadcast(where), "doc_id", "left_semi").select("text").mapInArrow(around, "shingle bigint")
+    shown = texts.join(F.broadcast(where), "doc_id", "left_semi").select("text").mapInArrow(thrifty(around), "shingle bigint")
     found = shown.distinct().limit(LATE).toPandas()["shingle"]
     return np.unique(np.concatenate([known, np.array(found, dtype=np.int64).view(np.uint64)]))
 
@@ -145,7 +145,7 @@ def late_shingles(texts: DataFrame, own: Scratch) -> np.ndarray:
                 if len(own):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), count)), pa.array(_signed(own))], ["c", "shingle"])
 
-    found = shown.select("c", "line").mapInArrow(shingles, "c bigint, shingle bigint")
+    found = shown.select("c", "line").mapInArrow(thrifty(shingles), "c bigint, shingle bigint")
     most = found.groupBy("shingle").agg(F.max("c").alias("c")).orderBy(F.desc("c"), "shingle").limit(LATE)
     return np.sort(np.array(most.toPandas()["shingle"], dtype=np.int64).view(np.uint64))
 
@@ -199,7 +199,7 @@ def prefixes(texts: DataFrame, late: np.ndarray, percent: int) -> DataFrame:
                 ["node", "n", "prefix", "sketch", "odd"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, n int, prefix binary, sketch binary, odd array<bigint>")
+    return texts.select("doc_id", "text").mapInArrow(thrifty(run), "node bigint, n int, prefix binary, sketch binary, odd array<bigint>")
 
 
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _entries(held: DataFrame) -> DataFrame:
     """shingle, node and n of each shingle of the prefixes."""
-    return held.select("node", "n", "prefix").mapInArrow(_unfold, "shingle bigint, node bigint, n int")
+    return held.select("node", "n", "prefix").mapInArrow(thrifty(_unfold), "shingle bigint, node bigint, n int")
 
 
 def thinned(texts: DataFrame, late: np.ndarray, percent: int, own: Scratch) -> DataFrame:
@@ -246,7 +246,7 @@ def thinned(texts: DataFrame, late: np.ndarray, percent: int, own: Scratch) -> D
                 hit.append(bool((crowded[np.minimum(np.searchsorted(crowded, run), len(crowded) - 1)] == run).any()))
             yield batch.select(["node"]).filter(pa.array(hit, pa.bool_()))
 
-    moved = own.table(held.select("node", "prefix").mapInArrow(has, "node bigint").withColumnRenamed("node", "doc_id"), "moved")
+    moved = own.table(held.select("node", "prefix").mapInArrow(thrifty(has), "node bigint").withColumnRenamed("node", "doc_id"), "moved")
     again = prefixes(only(texts, moved, "doc_id", own), np.union1d(late, crowded), percent)
     stay = held.withColumnRenamed("node", "doc_id")
     out = own.table(only(stay, moved, "doc_id", own, "left_anti").withColumnRenamed("doc_id", "node").unionByName(again), "prefixes")
@@ -297,10 +297,10 @@ def verified(texts: DataFrame, held: DataFrame, pairs: DataFrame, percent: int,
                 good.append(links(len(x), len(y), int(np.count_nonzero(y[at] == x))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = own.table(_paired(pairs, held, "sketch", own).mapInArrow(plausible, "a bigint, b bigint"), "plausible")
+    left = own.table(_paired(pairs, held, "sketch", own).mapInArrow(thrifty(plausible), "a bigint, b bigint"), "plausible")
     ids = own.table(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = own.table(only(texts, ids, "doc_id", own).mapInArrow(whole, "node bigint, n int, shingles binary"), "sets")
-    found = own.table(_paired(left, sets, "shingles", own).mapInArrow(compare, "a bigint, b bigint"), "verified")
+    sets = own.table(only(texts, ids, "doc_id", own).mapInArrow(thrifty(whole), "node bigint, n int, shingles binary"), "sets")
+    found = own.table(_paired(left, sets, "shingles", own).mapInArrow(thrifty(compare), "a bigint, b bigint"), "verified")
     own.drop(left, ids, sets)
     return found
 
@@ -340,7 +340,7 @@ def light_links(texts: DataFrame, nodes: DataFrame, largest: int, percent: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     nodes = own.table(nodes, "light")
-    keyed = own.table(only(texts, nodes, "doc_id", own).mapInArrow(run, ", ".join(f"{x} bigint" for x in names)), "subsets")
+    keyed = own.table(only(texts, nodes, "doc_id", own).mapInArrow(thrifty(run), ", ".join(f"{x} bigint" for x in names)), "subsets")
     met = keyed.groupBy(*names[:4]).agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.min("m").alias("m0"), F.max("m").alias("m1"))
     met = met.where("hub <> top and m0 = lo and m1 = hi").select(*names[:4], "hub")
     links = keyed.join(met, names[:4]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -480,7 +480,7 @@ def class_links(texts: DataFrame, sizes: DataFrame, percent: int, own: Scratch)
 
 def _linked_rows(docs: DataFrame, percent: int, own: Scratch) -> DataFrame:
     """doc_id, n, component of all rows of ``docs`` (doc_id, text); an id comes once, or not at all (null)."""
-    sizes = own.table(docs.mapInArrow(_describe, _DESCRIBED), "sizes")
+    sizes = own.table(docs.mapInArrow(thrifty(_describe), _DESCRIBED), "sizes")
     full = sizes.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("k"))
     members = full.select("doc_id", "n", "s1", "s2").join(own.table(classes.where("k > 1"), "classes"), ["n", "s1", "s2"], "left")
@@ -518,7 +518,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             joined = components(found.join(hubs, "component").select(F.col("id").alias("a"), "b"), own)
             each = found.select(F.col("id").alias("node"), "n", F.explode(F.sequence(F.lit(1), F.col("k"))))
             out = each.join(joined, "node", "left").select(F.col("node").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"))
-            unnamed = docs.where("doc_id is null").mapInArrow(_describe, _DESCRIBED)
+            unnamed = docs.where("doc_id is null").mapInArrow(thrifty(_describe), _DESCRIBED)
             out = out.unionByName(unnamed.select("doc_id", "n", F.col("doc_id").alias("component")))
         return own.keep(own.table(out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")), "linked"))
 

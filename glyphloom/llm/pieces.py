@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphloom.llm.common import rank_within
+from glyphloom.llm.common import rank_within, thrifty
 from glyphloom.llm.word_ids import END_ID, encoder
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -49,7 +49,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds)], names)
 
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(thrifty(run), schema)
 
 
 def histogram(pieces: DataFrame, capacity: int) -> np.ndarray:
@@ -94,4 +94,4 @@ def place(pieces: DataFrame, plan: Plan, rows: int) -> DataFrame:
                 [*(batch.column(c) for c in names), pa.array(shift[found] + rank), pa.array(at[found])], [*names, "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(thrifty(run), schema)

@@ -8,7 +8,7 @@ import pytest
 from glyphloom.llm import op7_heavy_light as join
 from glyphloom.llm import op10_line_join as lines
 from glyphloom.llm import words
-from glyphloom.llm.common import Scratch, forget, kept, scratch_dir
+from glyphloom.llm.common import RELEASED, Scratch, forget, kept, scratch_dir, thrifty
 from glyphloom.llm.components import components
 
 
@@ -122,6 +122,13 @@ def test_shingles_that_crowd_prefixes_come_last(spark, monkeypatch):
         assert sorted(r["node"] for r in thin) == list(range(100)) and {len(r["prefix"]) for r in thin} == {len(r["prefix"]) for r in plain}
 
 
+def test_workers_give_unused_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr("glyphloom.llm.common.give_back", lambda: calls.append(1))
+    assert list(thrifty(lambda batches: (2 * x for x in batches))(iter(range(2 * RELEASED + 1)))) == [2 * x for x in range(2 * RELEASED + 1)]
+    assert len(calls) == 3
+
+
 def test_only_what_the_result_reads_is_left(spark, docs):
     def tables():
         where = scratch_dir(spark).removeprefix("file://").removeprefix("file:")
