@@ -122,6 +122,30 @@ def test_shingles_that_crowd_prefixes_come_last(spark, monkeypatch):
         assert sorted(r["node"] for r in thin) == list(range(100)) and {len(r["prefix"]) for r in thin} == {len(r["prefix"]) for r in plain}
 
 
+def test_only_drawn_documents_are_shingled_twice_for_the_order(spark, monkeypatch):
+    """Whatever shares of the documents get another prefix: here all have the phrase in theirs."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.sample([f"u{i}x{k}" for k in range(60)] + ["one two three four five"], 61))) for i in range(200)]
+    read, plain = [], join.prefixes
+    monkeypatch.setattr(join, "prefixes", lambda texts, *more: read.append(texts.count()) or plain(texts, *more))
+    monkeypatch.setattr(join, "prefix_length", lambda n, percent=80: n - 1)
+    with Scratch(spark) as own:
+        assert join.thinned(spark.createDataFrame(rows, "doc_id bigint, text string"), np.zeros(0, np.uint64), 80, own).count() == 200
+    assert 200 < sum(read) < 260
+
+
+@pytest.mark.parametrize("size", [0, 1, 50, 40_000])
+def test_members_are_told_exactly_and_few_others_are_searched(size):
+    rng = np.random.default_rng(size)
+    ends = np.array([0, (1 << 64) - 1], dtype=np.uint64)
+    known = np.unique(np.concatenate([rng.integers(0, 1 << 64, size, dtype=np.uint64), ends[: min(size, 2)]]))
+    others = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    asked = rng.permutation(np.concatenate([known, others, known + np.uint64(1), ends]))
+    members = join.Members(known)
+    assert np.array_equal(members.of(asked), np.isin(asked, known))
+    assert len(members.likely(others)) < len(others) / 8 and not len(members.of(others[:0]))
+
+
 def test_workers_give_unused_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr("glyphloom.llm.common.give_back", lambda: calls.append(1))
