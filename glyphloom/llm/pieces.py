@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphloom.llm.common import rank_within, thrifty
-from glyphloom.llm.word_ids import END_ID, encoder
+from glyphloom.llm.word_ids import END_ID, WordEncoder
 
 Plan = list[tuple[tuple[int, ...], int]]
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -32,8 +32,10 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False)
     end = np.array([END_ID], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
+        # A task's own: idle workers, which later tasks take in turn, would each keep a memory of words.
+        coder = None
         for batch in batches:
+            coder = coder or WordEncoder(vocabulary)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows: list[tuple] = []

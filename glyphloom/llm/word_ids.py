@@ -17,7 +17,7 @@ import public_tokenizers
 
 from glyphloom.llm.words import word_hashes, word_runs
 
-MAX_REMEMBERED = 1_000_000
+MAX_REMEMBERED = 250_000
 END_ID = 1
 LONGEST = 64  # bytes of a word that may be known by its hash; longer ones are encoded each time
 SEGMENT = 1 << 18  # bytes of text encoded together; a longer text is cut at white space
@@ -101,7 +101,7 @@ class WordEncoder:
         """Let each key find its entry, the first of which is ``first``; slots stay half empty at least."""
         if 2 * (first + len(keys)) > len(self.keys):
             held, entry = self.keys[self.keys != 0], self.entry[self.keys != 0]
-            slots = 4 << (first + len(keys)).bit_length()
+            slots = 2 << (first + len(keys)).bit_length()
             self.keys, self.entry = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int32)
             self._put(held, entry)
         self._put(keys, np.arange(first, first + len(keys), dtype=np.int32))
@@ -203,13 +203,3 @@ def _cut(raw: bytes) -> Iterator[bytes]:
         yield raw[at:to]
         at = to
     yield raw[at:]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]

@@ -154,3 +154,17 @@ def test_the_query_returns_id_matrices(spark, docs, tmp_path):
             assert len(r["input_ids"]) == len(r["position_ids"]) == packed.CAPACITY and r["cu_seqlens"][-1] == r["n_tokens"]
             for name in ("input_ids", "cu_seqlens", "position_ids"):
                 assert r[f"{name}_crc32"] == zlib.crc32(np.array(r[name], "<u4").tobytes())
+
+
+def test_workers_keep_no_encoder_after_their_task(spark, docs):
+    def alive(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "WordEncoder" for x in gc.get_objects())])], ["n"])
+
+    assert completion.cut(docs.repartition(8), vocabulary_path(), 256).count()
+    seen = spark.range(0, 64, 1, 8).mapInArrow(alive, "n bigint").collect()
+    assert seen and not any(r["n"] for r in seen)
