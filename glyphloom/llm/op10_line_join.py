@@ -21,6 +21,7 @@ from glyphloom.llm.common import BROADCAST_ROWS, Scratch, table
 
 PERCENT = 80
 FREQUENT = 24
+LINE_NUMBERS = 8 * BROADCAST_ROWS  # at most that go to every executor, in one set for each document
 SAMPLED = 4  # shingles with hashes divisible by this show where frequent passages are
 
 
@@ -152,7 +153,10 @@ def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int,
     again = again.withColumn("at", F.row_number().over(order)).where(F.col("at") <= _prefix(F.col("n"), percent))
     again = own.table(again.select("token", "cls", F.col("at").cast("long")), "again")
     own.drop(sets, newly)
-    stay = only(members, moved, own, "left_anti")
+    # One line of each class is enough from here on.
+    repeated = own.table(firsts.where("k > 1").select("cls", F.col("first").alias("one")), "repeated")
+    single = members.join(own.small(repeated), "cls", "left").where(F.col("one").isNull() | (F.col("one") == F.struct("doc_id", "text_hash", "line_no")))
+    stay = only(single, moved, own, "left_anti")
     entries = stay.select("cls", F.explode("prefix").alias("token")).unionByName(again.select("cls", "token"))
     # A shingle that two rows have needs no second look: its classes are the smaller and the larger one.
     met = entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
@@ -162,14 +166,14 @@ def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int,
     own.drop(met)
     kept = only(shared, moved, own, "left_anti")
     wanted = own.table(kept.select("cls").distinct(), "wanted")
-    prefixes = only(members, wanted, own).select("cls", "prefix").dropDuplicates(["cls"])
+    prefixes = only(single, wanted, own).select("cls", "prefix")
     kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
     again = again.join(shared, ["token", "cls"])
     # No pair shares more prefix shingles than one of its sets has in lists at all.
-    degrees = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("e"))
-    sized = firsts.select("cls", "n", "first").join(degrees, "cls")
-    lists = own.table(kept.unionByName(again).join(sized, "cls"), "lists")
-    own.drop(shared, again)
+    degrees = own.table(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("e")), "degrees")
+    sized = own.table(firsts.select("cls", "n", "first").join(own.small(degrees), "cls"), "sized")
+    lists = own.table(kept.unionByName(again).join(own.small(sized), "cls"), "lists")
+    own.drop(shared, again, degrees, sized)
     return lists
 
 
@@ -192,8 +196,8 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         members, firsts = _members(docs, percent, own)
         lists = _lists(docs, members, firsts, percent, own)
 
-        long = lists.join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "token")
-        long = own.table(long, "long")
+        crowded = own.table(lists.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FREQUENT).select("token"), "crowded")
+        long = own.table(lists.join(own.small(crowded), "token"), "long")
         near = None
         for lead in (F.struct("first"), F.struct(-F.col("e") / _prefix(F.col("n"), percent), "first")):
             heads = long.groupBy("token").agg(F.min(F.struct(lead.alias("lead"), "cls", "n", "at", "first", "e")).alias("head")).select("token", "head.*")
@@ -221,7 +225,9 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, counts: bool = True) ->
     names = [c for c in docs.columns if c.lower() not in added]
     removed = removed_lines(docs, percent)
     gone = removed.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone")).select(F.struct("doc_id", "text_hash").alias("at"), "gone")
-    gone = F.broadcast(gone) if removed.count() <= BROADCAST_ROWS else gone
+    # What goes to every executor has a row for each document, not for each line.
+    k = removed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).agg(F.count(F.lit(1)), F.sum("k")).first()
+    gone = F.broadcast(gone) if k[0] <= BROADCAST_ROWS and (k[1] or 0) <= LINE_NUMBERS else gone
     # Documents are one column of their own, so that no name of theirs can clash.
     own = docs.select(F.struct(*names).alias("own"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     joined = own.join(gone, F.col("id").eqNullSafe(F.col("at.doc_id")) & (F.col("hash") == F.col("at.text_hash")), "left")

@@ -8,7 +8,7 @@ import pytest
 from glyphloom.llm import op7_heavy_light as join
 from glyphloom.llm import op10_line_join as lines
 from glyphloom.llm import words
-from glyphloom.llm.common import RELEASED, Scratch, forget, kept, scratch_dir, thrifty
+from glyphloom.llm.common import RELEASED, Scratch, forget, kept, scratch_dir, settings, thrifty
 from glyphloom.llm.components import components
 
 
@@ -217,3 +217,16 @@ def test_line_dedup_equals_brute_force(spark, docs, none, monkeypatch, frequent)
     wanted = sorted([(i, None if t is None else expected[i, t]) for i, t, *_ in docs.collect()], key=repr)
     assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=repr) == wanted
     assert len(texts) and lines.dedup_lines(none).count() == 0
+
+
+def test_many_removed_lines_of_few_documents_move_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 10)
+    rows = [(i, "\n".join(["the same line of some words"] * 20 + [f"line {i} has {i} words of its own"])) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        out = lines.dedup_lines(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    own = [t.split("\n")[-1] for _, t in rows]
+    assert got == {0: (f"the same line of some words\n{own[0]}", 21, 19)} | {i: (own[i], 21, 20) for i in range(1, 5)}
