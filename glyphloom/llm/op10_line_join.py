@@ -35,11 +35,12 @@ def plain(text: Column) -> Column:
 
 def with_shingles(lines: DataFrame) -> DataFrame:
     """Adds ``s``, the sorted distinct shingle hashes of ``line`` (of a plain text); empty for a line without words."""
-    words = F.array_remove(F.split("line", " "), "")
-    worded = lines.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
+    # Words' hashes are a variable of a lambda: taken from the row, each would cost a new view of their array.
+    worded = lines.withColumn("words", F.array_remove(F.split("line", " "), ""))
     five = "transform(sequence(0, size(h) - 5), i -> xxhash64(h[i], h[i + 1], h[i + 2], h[i + 3], h[i + 4]))"
-    shingles = F.when(F.size("h") >= 5, F.expr(five)).when(F.size("h") > 0, F.array(F.xxhash64("h"))).otherwise(F.expr("array()").cast("array<bigint>"))
-    return worded.withColumn("s", F.sort_array(F.array_distinct(shingles))).drop("h")
+    fewer = "if(size(h) > 0, array(xxhash64(h)), cast(array() AS array<bigint>))"
+    shingles = F.expr(f"transform(array(transform(words, w -> xxhash64(w))), h -> if(size(h) >= 5, {five}, {fewer}))[0]")
+    return worded.withColumn("s", F.sort_array(F.array_distinct(shingles))).drop("words")
 
 
 def numbered_lines(docs: DataFrame, text: Column) -> DataFrame:
@@ -166,14 +167,15 @@ def _lists(docs: DataFrame, members: DataFrame, firsts: DataFrame, percent: int,
     own.drop(met)
     kept = only(shared, moved, own, "left_anti")
     wanted = own.table(kept.select("cls").distinct(), "wanted")
-    prefixes = only(single, wanted, own).select("cls", "prefix")
-    kept = kept.join(prefixes, "cls").select("token", "cls", F.array_position("prefix", F.col("token")).alias("at"))
-    again = again.join(shared, ["token", "cls"])
+    # A class's size and first place come with its one line, by shuffle: for every executor they would be too much.
+    prefixes = only(single, wanted, own).select("cls", "prefix", "n", F.struct("doc_id", "text_hash", "line_no").alias("first"))
+    kept = kept.join(prefixes, "cls").withColumn("at", F.array_position("prefix", F.col("token")))
+    again = again.join(shared, ["token", "cls"]).join(only(firsts.select("cls", "n", "first"), moved, own), "cls")
     # No pair shares more prefix shingles than one of its sets has in lists at all.
-    degrees = own.table(shared.groupBy("cls").agg(F.count(F.lit(1)).alias("e")), "degrees")
-    sized = own.table(firsts.select("cls", "n", "first").join(own.small(degrees), "cls"), "sized")
-    lists = own.table(kept.unionByName(again).join(own.small(sized), "cls"), "lists")
-    own.drop(shared, again, degrees, sized)
+    e = F.count(F.lit(1)).over(Window.partitionBy("cls")).alias("e")
+    kept, again = (df.select("token", "cls", "n", "at", "first", e) for df in (kept, again))
+    lists = own.table(kept.unionByName(again), "lists")
+    own.drop(shared)
     return lists
 
 

@@ -230,3 +230,27 @@ def test_many_removed_lines_of_few_documents_move_no_texts(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     own = [t.split("\n")[-1] for _, t in rows]
     assert got == {0: (f"the same line of some words\n{own[0]}", 21, 19)} | {i: (own[i], 21, 20) for i in range(1, 5)}
+
+
+def test_lists_send_few_values_of_a_class_to_every_executor(spark, monkeypatch):
+    """Sizes, places and numbers of entries of the classes in lists go by shuffle; what each executor gets is their keys."""
+    rng = random.Random(4)
+    rows = [[f"q{i}x{k}" for k in range(30)] for i in range(100)]
+    rows += [[*own[:20], *(f"z{rng.randrange(10**9)}" for _ in range(10))] for own in rows]
+    docs = spark.createDataFrame([(i, " ".join(own)) for i, own in enumerate(rows)], "doc_id bigint, text string")
+    sent, small = [], Scratch.small
+
+    def spied(own, df, *columns, **more):
+        sent.append(own.seen(df)["rows"] * len((df.select(*columns) if columns else df).columns))
+        return small(own, df, *columns, **more)
+
+    monkeypatch.setattr(Scratch, "small", spied)
+    with Scratch(spark) as own:
+        members, firsts = lines._members(docs, 80, own)
+        lists = lines._lists(docs, members, firsts, 80, own)
+        got = {(r["cls"], r["token"]): r for r in lists.collect()}
+        places = {r["cls"]: (r["first"], r["n"]) for r in firsts.collect()}
+    classes = {cls for cls, _ in got}
+    assert len(classes) > 100 and sum(sent) <= 2 * len(classes)
+    for (cls, _), r in got.items():
+        assert (r["first"], r["n"]) == places[cls] and r["e"] == sum(c == cls for c, _ in got)
