@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,9 @@ MAX_REMEMBERED = 250_000
 END_ID = 1
 LONGEST = 64  # bytes of a word that may be known by its hash; longer ones are encoded each time
 SEGMENT = 1 << 18  # bytes of text encoded together; a longer text is cut at white space
+TOGETHER = 300  # plain words encoded as one text
 _FIRST_SLOTS = 1 << 18
+_POINTS = "".join(c for c in string.punctuation if c != "'")  # a run of them is one of the pattern's; an apostrophe may begin another
 _MARKS = re.compile(b"[\xcc\xcd]")
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -40,13 +43,16 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         if size > 65_536:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
+        # For words that the normaliser leaves as they are and that are one run each; the model is the same object.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(size, dtype=bool)  # tokens that end a run of letters, digits or other characters
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -56,26 +62,33 @@ class WordEncoder:
         self._append([known[b","], known[b"."]])
 
     def encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words and their ids. Lower-case words of Latin letters are one run each, so many are encoded as one text."""
+        """Words and their ids. Lower-case words of Latin letters are one run each, and what ``_POINTS`` follow is another: many are encoded as one text."""
         plain: list[bytes] = []
-        texts: list[str] = []
+        units: list[str] = []
+        runs: list[int] = []
         others: list[bytes] = []
         for word in words:
             text = word.decode()
-            if text.isalpha() and text.islower() and max(text) < "\u0250":
+            body = text.rstrip(_POINTS)
+            if body.isalpha() and body.islower() and max(body) < "\u0250":
+                apart = len(body) < len(text)
                 plain.append(word)
-                texts.append(text)
+                units.append(f"{body} {text[len(body) :]}" if apart else text)
+                runs.append(1 + apart)
             else:
                 others.append(word)
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, dtype="<u2")
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 2).tolist()
-            if len(cuts) != len(plain):
-                raise AssertionError("a word has more than one run")
+            texts = [" ".join(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)]
+            ids = np.concatenate([np.array(x.ids, dtype="<u2") for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(runs)
+            if len(ends) != last[-1]:
+                raise AssertionError("a word has more runs than expected")
+            cuts = (ends[last - 1] * 2).tolist()
             raw = ids.tobytes()
             yield from zip(plain, map(raw.__getitem__, map(slice, [0, *cuts], cuts)))
-        for word, coded in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
-            yield word, np.array(coded.ids, dtype="<u2").tobytes()
+        if others:
+            for word, coded in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
+                yield word, np.array(coded.ids, dtype="<u2").tobytes()
 
     def _append(self, coded: list[bytes]) -> None:
         """New entries at the end of the memory."""
@@ -138,8 +151,8 @@ class WordEncoder:
         new = np.flatnonzero((entry < 0) & hashed)
         fresh, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
         others = np.flatnonzero(~hashed)
-        words = [raw[at[i] : to[i]].lower() for i in new[first]]
-        each = [raw[at[i] : to[i]].lower() if lower else raw[at[i] : to[i]] for i in others]
+        low = raw.lower() if lower else raw
+        words, each = ([low[a:b] for a, b in zip(at[i].tolist(), to[i].tolist())] for i in (new[first], others))
         if words or each:
             known = dict(self.encoded(list(dict.fromkeys(words + each))))
             self._append([known[w] for w in words + each])

@@ -1,4 +1,5 @@
 import random
+import string
 import zlib
 from itertools import combinations
 
@@ -28,6 +29,19 @@ def test_word_encoder_equals_the_tokenizer(tokenizer):
             assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_plain_words_are_encoded_without_the_normaliser(tokenizer):
+    """Words of lower-case Latin letters, the bulk of new words, with or without points at the end, cost no normalising and no pattern, and get the same ids."""
+    own = WordEncoder(vocabulary_path())
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c.islower()]
+    rng = random.Random(2)
+    words = [*letters, *(f"a{c}b" for c in letters), *{"".join(rng.choices(letters, k=rng.randint(1, 20))) for _ in range(2000)}]
+    points = string.punctuation.replace("'", "")
+    words += [w + "".join(rng.choices(points, k=rng.randint(1, 4))) for w in words]
+    own.tokenizer = None  # would fail if it were asked for one of them
+    for word, ids in zip(words, own.ids(words)):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def fewest_bins(items, capacity):
     items, best = sorted(items, reverse=True), len(items)
 
